@@ -6,7 +6,9 @@ from importlib import import_module
 
 #: Query name to module and function.
 NAMES = {
+    "op3_quality": "quality",
     "op6_packing": "packing",
+    "op7_secrets": "secrets",
     "op8_bpe_prefix": "bpe",
     "op9_id_files": "idfiles",
 }
