@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name to module and function.
 NAMES = {
+    "op2_pii": "pii",
     "op3_quality": "quality",
     "op6_packing": "packing",
     "op7_secrets": "secrets",
