@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name to module and function.
 NAMES = {
+    "op1_fingerprint": "fingerprint",
     "op10_toxicity": "toxicity",
     "op2_pii": "pii",
     "op3_quality": "quality",

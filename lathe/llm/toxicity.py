@@ -34,10 +34,12 @@ FOLDS, HELD_OUT = 4, 2
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds of the training: labelled documents, their longest text, passes, and sizes of the network."""
+    """Bounds of the training: labelled documents, their longest text, windows of one repeated word, passes, and sizes
+    of the network."""
 
     documents: int = 6000
     longest: int = 200_000
+    repeated: int = 400
     passes: int = 10
     batch: int = 128
     embed: int = 6
@@ -165,6 +167,14 @@ class ToxicNet:
             b = np.full(WINDOW, t.buckets, np.int64)
             b[: len(piece)] = table.bucket[piece]
             inputs.append(x), buckets.append(b)
+        # A word said over and over is no more toxic than said once: some windows of a clean document's word alone.
+        rng = np.random.default_rng(t.seed)
+        clean = [piece for piece, label in zip(picked, labels) if not label and len(piece)]
+        for piece in clean[:: max(1, len(clean) // t.repeated)]:
+            word = rng.choice(piece)
+            inputs.append(np.repeat(out[0][word][None], WINDOW, 0)), buckets.append(np.full(WINDOW, table.bucket[word]))
+            picked.append(np.repeat(word, WINDOW))
+        labels = np.concatenate([labels, np.zeros(len(picked) - n_docs, np.int64)])
         self._train(np.stack(inputs, 1), np.stack(buckets, 1), np.fromiter(map(len, picked), np.int64), labels)
 
     @staticmethod
