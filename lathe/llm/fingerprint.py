@@ -4,7 +4,7 @@ A text's prefix array holds, for each length, the sum of its code points times p
 two spans are compared by two differences, so equality of spans takes constant time and the longest common extension of
 two places a binary search.  A fingerprint joins the whole text's hash (modulo two primes) and length with a sketch: the
 least of the mixed hashes of all spans of ``SPAN`` code points.  Equal texts have equal fingerprints; the likeness of two
-is the share of common spans that their sketches estimate.
+is the share of common spans, repeats counted, that their sketches estimate.
 
 To compare each document with the next in ascending id order, documents go to buckets of a range of ids (bounds from an
 approximate quantile summary of the ids alone), with a ghost of each bucket's first document in the bucket before it.
@@ -102,7 +102,10 @@ class PrefixHash:
         return low
 
     def sketch(self) -> np.ndarray:
-        """The least ``SKETCH`` different mixed hashes of all spans (of the whole text, if it is shorter than one)."""
+        """The least ``SKETCH`` mixed hashes of all spans (of the whole text, if it is shorter than one).
+
+        A span that repeats counts as often as it does in its block of ``BLOCK`` code points.
+        """
         if self.n < SPAN:
             return self._mixed(np.array([self.span(0, self.n)], np.uint64)) if self.n else np.zeros(0, np.uint32)
         least = np.zeros(0, np.uint32)
@@ -112,13 +115,21 @@ class PrefixHash:
             hashes = _mod((ends + PRIME - self.prefix[at:stop]) * _INVERSE[: stop - at])
             if at:
                 hashes = _mod(hashes * np.uint64(pow(BASE, -at, int(PRIME))))
-            mixed = self._mixed(hashes)
+            mixed = self._mixed(self._numbered(hashes))
             some = np.unique(np.partition(mixed, 4 * SKETCH)[: 4 * SKETCH]) if len(mixed) > 4 * SKETCH else None
             if some is None or len(some) <= SKETCH:
                 some = np.unique(mixed)
             least = np.unique(np.concatenate([least, some[:SKETCH]]))[:SKETCH]
         return least
 
+    @staticmethod
+    def _numbered(hashes: np.ndarray) -> np.ndarray:
+        """Each hash with its number among equal ones, so that repetition has its weight in the sketch."""
+        hashes = np.sort(hashes.astype(np.uint32)).astype(np.uint64)
+        place = np.arange(len(hashes))
+        new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+        return hashes | (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64) << np.uint64(32)
+
     @staticmethod
     def _mixed(hashes: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
