@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name to module and function.
 NAMES = {
+    "op5_site_bayes": "sitebayes",
     "op4_minhash": "neardup",
     "op1_fingerprint": "fingerprint",
     "op10_toxicity": "toxicity",
