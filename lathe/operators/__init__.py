@@ -1,0 +1 @@
+"""Relational operators that need more than one DataFrame call."""

@@ -1,19 +1,457 @@
-"""Registered queries of the query engine, with the SQL that states the same results."""
+"""Registered queries of the engine, each with the SQL that states the same rows.
+
+Reals that come from sums are rounded on both sides, as the order of additions differs between engines.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from lathe.query import Builder, query
+from lathe.sources.files import Documents, Tabular
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages")
+#: Unique keys that order a table's rows where a query depends on order.
+ORDER = {
+    "events": "event_id", "orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey", "supplier": "s_suppkey",
+    "nation": "n_nationkey", "region": "r_regionkey",
+}
+
+
+@dataclass(frozen=True)
+class Entry:
+    args: list[str]
+    sql: str | None
+    partition: list[str] = field(default_factory=list)
+
+
+def tables(spark: SparkSession, sf_dir: str) -> dict[str, Tabular]:
+    return {
+        name: Tabular(spark.read.parquet(f"{sf_dir}/{name}.parquet"), (ORDER[name],) if name in ORDER else ())
+        for name in TABLES
+    }
+
+
+LINE = "in[lineitem]"
+FLAGSHIP = [
+    LINE, "l_returnflag", "l_linestatus", "qty:round[sum[l_quantity],2]", "price:round[sum[l_extendedprice],2]",
+    "n:count[l_orderkey]", "where[l_discount<=0.05]", "sort[l_returnflag,l_linestatus]",
+]
+
+ENTRIES: dict[str, Entry] = {
+    "flagship": Entry(
+        FLAGSHIP,
+        "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice), 2) AS price, "
+        "count(*) AS n FROM lineitem WHERE l_discount <= 0.05 GROUP BY ALL",
+    ),
+    "scan_select": Entry(
+        ["in[orders]", "key:o_orderkey", "price:o_totalprice"],
+        "SELECT o_orderkey AS key, o_totalprice AS price FROM orders",
+    ),
+    "literals": Entry(
+        ["in[region]", "r:r_regionkey", "one:1", "half:.5", "word:'it'", "yes:true"],
+        "SELECT CAST(r_regionkey AS BIGINT) AS r, 1.0::DOUBLE AS one, 0.5::DOUBLE AS half, 'it' AS word, true AS yes "
+        "FROM region",
+    ),
+    "where_and": Entry(
+        [LINE, "l_orderkey", "l_quantity", "where[l_quantity>=45 && l_discount<0.03]"],
+        "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity >= 45 AND l_discount < 0.03",
+    ),
+    "where_multi": Entry(
+        [LINE, "l_orderkey", "l_shipdate", "where[l_returnflag=='R']", "where[l_linestatus!='O']", "where[l_tax<=0.02]"],
+        "SELECT l_orderkey, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate FROM lineitem "
+        "WHERE l_returnflag = 'R' AND l_linestatus <> 'O' AND l_tax <= 0.02",
+    ),
+    "where_or_xor_not": Entry(
+        [LINE, "l_orderkey", "l_linenumber", "where[[l_quantity<5 || l_quantity>48] ^ ![l_discount==0.05]]"],
+        "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem "
+        "WHERE (l_quantity < 5 OR l_quantity > 48) <> (NOT l_discount = 0.05)",
+    ),
+    "relational_names": Entry(
+        ["in[part]", "p:p_partkey", "a:eq[p_size,10]", "b:ne[p_size,10]", "c:le[p_size,10]", "d:ge[p_size,10]",
+         "e:lt[p_size,10]", "f:gt[p_size,10]", "g:and[p_size>5,p_size<9]", "h:or[p_size>5,p_size<2]",
+         "i:xor[p_size>5,p_size>9]", "j:not[p_size>5]"],
+        "SELECT p_partkey AS p, p_size = 10 AS a, p_size <> 10 AS b, p_size <= 10 AS c, p_size >= 10 AS d, p_size < 10 AS e, "
+        "p_size > 10 AS f, p_size > 5 AND p_size < 9 AS g, p_size > 5 OR p_size < 2 AS h, (p_size > 5) <> (p_size > 9) AS i, "
+        "NOT p_size > 5 AS j FROM part",
+    ),
+    "arith": Entry(
+        [LINE, "k:l_orderkey", "net:l_extendedprice*[1-l_discount]", "neg:-l_quantity", "m:l_orderkey%7",
+         "s:l_orderkey+l_partkey", "d:l_orderkey-l_partkey", "prec:1+2*l_linenumber"],
+        "SELECT l_orderkey AS k, l_extendedprice * (1 - l_discount) AS net, -l_quantity AS neg, l_orderkey % 7 AS m, "
+        "l_orderkey + l_partkey AS s, l_orderkey - l_partkey AS d, CAST(1 + 2 * l_linenumber AS DOUBLE) AS prec FROM lineitem",
+    ),
+    "safe_div_mod": Entry(
+        [LINE, "k:l_orderkey", "r:l_quantity/[l_linenumber-1]", "i:l_orderkey/int[l_linenumber-1]",
+         "m:l_orderkey%[l_linenumber-1]"],
+        "SELECT l_orderkey AS k, CASE WHEN l_linenumber = 1 THEN 'nan'::DOUBLE ELSE l_quantity / (l_linenumber - 1) END AS r, "
+        "CASE WHEN l_linenumber = 1 THEN 0 ELSE l_orderkey // (l_linenumber - 1) END AS i, "
+        "CASE WHEN l_linenumber = 1 THEN -1 ELSE l_orderkey % (l_linenumber - 1) END AS m FROM lineitem",
+    ),
+    "math_fns": Entry(
+        ["in[customer]", "k:c_custkey", "a:abs[c_acctbal]", "f:floor[c_acctbal]", "c:ceil[c_acctbal]",
+         "r:round[c_acctbal/7,1]", "n:round[c_acctbal,-2]", "s:round[sqrt[abs[c_acctbal]],6]",
+         "p:round[pow[c_acctbal/1000,2],6]", "l:round[log[abs[c_acctbal]+1],6]", "b:round[log[abs[c_acctbal]+1,10],6]",
+         "e:round[exp[c_acctbal/10000],6]"],
+        "SELECT c_custkey AS k, abs(c_acctbal) AS a, CAST(floor(c_acctbal) AS BIGINT) AS f, CAST(ceil(c_acctbal) AS BIGINT) AS c, "
+        "sign(c_acctbal) * floor(abs(c_acctbal / 7 * 10) + 0.5) / 10 AS r, "
+        "sign(c_acctbal) * floor(abs(c_acctbal * 0.01) + 0.5) / 0.01 AS n, "
+        "floor(sqrt(abs(c_acctbal)) * 1e6 + 0.5) / 1e6 AS s, floor(pow(c_acctbal / 1000, 2) * 1e6 + 0.5) / 1e6 AS p, "
+        "floor(ln(abs(c_acctbal) + 1) * 1e6 + 0.5) / 1e6 AS l, "
+        "floor(ln(abs(c_acctbal) + 1) / ln(10) * 1e6 + 0.5) / 1e6 AS b, "
+        "floor(exp(c_acctbal / 10000) * 1e6 + 0.5) / 1e6 AS e FROM customer",
+    ),
+    "log_edges": Entry(
+        ["in[nation]", "k:n_nationkey", "zero:log[n_nationkey-5]", "root:sqrt[n_nationkey-5]"],
+        "SELECT CAST(n_nationkey AS BIGINT) AS k, CASE WHEN n_nationkey = 5 THEN '-inf'::DOUBLE WHEN n_nationkey < 5 THEN "
+        "'nan'::DOUBLE ELSE ln(n_nationkey - 5.0::DOUBLE) END AS zero, CASE WHEN n_nationkey < 5 THEN 'nan'::DOUBLE ELSE "
+        "sqrt(n_nationkey - 5.0::DOUBLE) END AS root FROM nation",
+    ),
+    "min_max_scalar": Entry(
+        [LINE, "k:l_orderkey", "lo:min[l_orderkey,l_partkey]", "hi:max[l_quantity,25]"],
+        "SELECT l_orderkey AS k, least(l_orderkey, l_partkey) AS lo, greatest(l_quantity, 25.0) AS hi FROM lineitem",
+    ),
+    "if_expr": Entry(
+        ["in[orders]", "k:o_orderkey", "size:if[o_totalprice>200000,'big','small']", "x:if[o_orderstatus=='F',1,o_totalprice]"],
+        "SELECT o_orderkey AS k, CASE WHEN o_totalprice > 200000 THEN 'big' ELSE 'small' END AS size, "
+        "CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE o_totalprice END AS x FROM orders",
+    ),
+    "string_fns": Entry(
+        ["in[customer]", "k:c_custkey", "a:c_name&'-'&c_mktsegment", "b:concat[c_mktsegment,c_nationkey]", "n:len[c_name]",
+         "l:left[c_name,4]", "r:right[c_name,3]", "lo:lower[c_mktsegment]", "up:upper[c_name]",
+         "has:contains[c_mktsegment,'BUILD']", "at:find[c_name,'#']", "none:find[c_name,'']"],
+        "SELECT c_custkey AS k, c_name || '-' || c_mktsegment AS a, c_mktsegment || CAST(c_nationkey AS VARCHAR) AS b, "
+        "length(c_name) AS n, left(c_name, 4) AS l, right(c_name, 3) AS r, lower(c_mktsegment) AS lo, upper(c_name) AS up, "
+        "contains(c_mktsegment, 'BUILD') AS has, CAST(instr(c_name, '#') - 1 AS BIGINT) AS at, CAST(-1 AS BIGINT) AS none "
+        "FROM customer",
+    ),
+    "cast_fns": Entry(
+        ["in[orders]", "k:o_orderkey", "i:int[o_totalprice]", "r:real[o_orderkey]", "b:bool[o_orderkey%2]",
+         "p:int[left[o_orderpriority,1]]", "s:str[o_totalprice,1]", "t:str[o_orderkey]"],
+        "SELECT o_orderkey AS k, CAST(trunc(o_totalprice) AS BIGINT) AS i, CAST(o_orderkey AS DOUBLE) AS r, "
+        "o_orderkey % 2 <> 0 AS b, CAST(left(o_orderpriority, 1) AS BIGINT) AS p, printf('%.1f', o_totalprice) AS s, "
+        "CAST(o_orderkey AS VARCHAR) AS t FROM orders",
+    ),
+    "type_name": Entry(
+        ["in[orders]", "k:type[o_orderkey]", "p:type[o_totalprice]", "s:type[o_orderstatus]", "d:type[o_orderdate]",
+         "b:type[o_orderkey==1]", "distinct[true]"],
+        "SELECT 'int' AS k, 'real' AS p, 'str' AS s, 'datetime' AS d, 'bool' AS b",
+    ),
+    "datetime_fns": Entry(
+        ["in[orders]", "k:o_orderkey", "d:o_orderdate", "next:datetime[int[datetime[o_orderdate]]+3600*24]",
+         "f:formatsec[int[o_orderdate]]", "m:formatms[int[o_orderdate]*1000]", "e:int[o_orderdate]",
+         "parsed:datetime['17-6-8 7:05:09.25']"],
+        "SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS d, "
+        "strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS next, "
+        "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.000') AS f, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.000') AS m, "
+        "CAST(epoch(o_orderdate) AS BIGINT) AS e, '2017-06-08 07:05:09.2500' AS parsed FROM orders",
+    ),
+    "datetime_filter": Entry(
+        ["in[orders]", "k:o_orderkey", "where[o_orderdate>=datetime['1996-01-01'] && o_orderdate<datetime['1997-01-01']]"],
+        "SELECT o_orderkey AS k FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'",
+    ),
+    "agg_all": Entry(
+        [LINE, "n:count[l_orderkey]", "s:round[sum[l_quantity],2]", "i:sum[l_orderkey]", "a:round[avg[l_extendedprice],4]",
+         "lo:min[l_extendedprice]", "hi:max[l_extendedprice]"],
+        "SELECT count(*) AS n, round(sum(l_quantity), 2) AS s, CAST(sum(l_orderkey) AS BIGINT) AS i, "
+        "round(avg(l_extendedprice), 4) AS a, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem",
+    ),
+    "agg_empty": Entry(
+        [LINE, "n:count[l_orderkey]", "where[l_quantity<0]"],
+        "SELECT count(*) AS n FROM lineitem WHERE l_quantity < 0 HAVING count(*) > 0",
+    ),
+    "agg_group1": Entry(
+        [LINE, "l_returnflag", "n:count[l_orderkey]", "q:round[sum[l_quantity],2]", "m:max[l_partkey]"],
+        "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS q, max(l_partkey) AS m FROM lineitem GROUP BY ALL",
+    ),
+    "agg_group2": Entry(
+        [LINE, "flag:l_returnflag&l_linestatus", "line:l_linenumber", "n:count[l_orderkey]"],
+        "SELECT l_returnflag || l_linestatus AS flag, CAST(l_linenumber AS BIGINT) AS line, count(*) AS n FROM lineitem "
+        "GROUP BY ALL",
+    ),
+    "agg_var_stdev": Entry(
+        ["in[customer]", "n_:c_nationkey", "v:round[var[c_acctbal]/1000000,4]", "s:round[stdev[c_acctbal],4]"],
+        "SELECT CAST(c_nationkey AS BIGINT) AS n_, round(coalesce(var_samp(c_acctbal), 0.0) / 1000000, 4) AS v, "
+        "round(coalesce(stddev_samp(c_acctbal), 0.0), 4) AS s FROM customer GROUP BY c_nationkey",
+    ),
+    "agg_cov_corr": Entry(
+        [LINE, "l_returnflag", "c:round[cov[l_quantity,l_extendedprice],1]", "r:round[corr[l_quantity,l_extendedprice],6]"],
+        "SELECT l_returnflag, round(covar_pop(l_quantity, l_extendedprice), 1) AS c, "
+        "round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY ALL",
+    ),
+    "agg_any": Entry(
+        ["in[orders]", "s:o_orderstatus", "p:any[o_orderpriority]", "t:any[o_totalprice]"],
+        "SELECT o_orderstatus AS s, arg_min(o_orderpriority, o_orderkey) AS p, arg_min(o_totalprice, o_orderkey) AS t "
+        "FROM orders GROUP BY ALL",
+    ),
+    "agg_expr": Entry(
+        [LINE, "l_linestatus", "r:round[sum[l_extendedprice]/count[l_orderkey],4]", "t:'n='&str[count[l_orderkey]]"],
+        "SELECT l_linestatus, round(sum(l_extendedprice) / count(*), 4) AS r, 'n=' || count(*) AS t FROM lineitem GROUP BY ALL",
+    ),
+    "having": Entry(
+        ["in[orders]", "c:o_custkey", "n:count[o_orderkey]", "where[count[o_orderkey]>15]", "where[o_totalprice>50000]"],
+        "SELECT o_custkey AS c, count(*) AS n FROM orders WHERE o_totalprice > 50000 GROUP BY o_custkey HAVING count(*) > 15",
+    ),
+    "having_top": Entry(
+        ["in[orders]", "c:o_custkey", "n:count[o_orderkey]", "sort[-n,c]", "top[40]", "where[count[o_orderkey]<18]"],
+        "SELECT * FROM (SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, c LIMIT 40) "
+        "WHERE n < 18",
+    ),
+    "distinct1": Entry(
+        ["in[customer]", "c_mktsegment", "distinct[true]"], "SELECT DISTINCT c_mktsegment FROM customer"
+    ),
+    "distinct2": Entry(
+        ["in[customer]", "c_mktsegment", "nation:c_nationkey", "distinct[true]"],
+        "SELECT DISTINCT c_mktsegment, CAST(c_nationkey AS BIGINT) AS nation FROM customer",
+    ),
+    "distinct_sorted": Entry(
+        ["in[orders]", "p:o_orderpriority", "distinct[true]", "sort[o_orderkey]", "top[3]"],
+        "SELECT o_orderpriority AS p FROM orders GROUP BY o_orderpriority ORDER BY min(o_orderkey) LIMIT 3",
+    ),
+    "sort_top": Entry(
+        ["in[orders]", "k:o_orderkey", "p:o_totalprice", "sort[-o_totalprice,o_orderkey]", "top[25]"],
+        "SELECT o_orderkey AS k, o_totalprice AS p FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
+    ),
+    "sort_desc_multi": Entry(
+        ["in[orders]", "k:o_orderkey", "s:o_orderstatus", "sort[-str[o_orderpriority],o_orderstatus,-o_orderkey]", "top[30]"],
+        "SELECT o_orderkey AS k, o_orderstatus AS s FROM orders ORDER BY o_orderpriority DESC, o_orderstatus, o_orderkey DESC "
+        "LIMIT 30",
+    ),
+    "sort_aggregate": Entry(
+        ["in[orders]", "c:o_custkey", "t:round[sum[o_totalprice],2]", "sort[-round[sum[o_totalprice],2],c]", "top[10]"],
+        "SELECT o_custkey AS c, round(sum(o_totalprice), 2) AS t FROM orders GROUP BY o_custkey ORDER BY t DESC, c LIMIT 10",
+    ),
+    "first_then_where": Entry(
+        ["in[events]", "id:event_id", "t:event_type", "first[500]", "where[event_type=='click']"],
+        "SELECT id, t FROM (SELECT event_id AS id, event_type AS t FROM events ORDER BY event_id LIMIT 500) WHERE t = 'click'",
+    ),
+    "top_after_where": Entry(
+        ["in[events]", "id:event_id", "where[event_type=='click']", "sort[event_id]", "top[50]"],
+        "SELECT event_id AS id FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 50",
+    ),
+    "rownum": Entry(
+        ["in[events]", "n:rownum[]", "id:event_id", "where[value>50]"],
+        "SELECT row_number() OVER (ORDER BY event_id) AS n, event_id AS id FROM events WHERE value > 50",
+    ),
+    "hidden_alias": Entry(
+        [LINE, "k:l_orderkey", "charge:net*[1+l_tax]", "net:hidden[l_extendedprice*[1-l_discount]]", "where[net>90000]"],
+        "SELECT l_orderkey AS k, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge FROM lineitem "
+        "WHERE l_extendedprice * (1 - l_discount) > 90000",
+    ),
+    "join_inner": Entry(
+        ["in[customer]", "k:c_custkey", "nation:right::n_name", "join[nation]", "where[c_nationkey==right::n_nationkey]"],
+        "SELECT c_custkey AS k, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    ),
+    "join_two_keys": Entry(
+        [LINE, "k:l_orderkey", "q:l_quantity", "o:o::l_quantity", "o:join[lineitem]", "where[l_orderkey==o::l_orderkey]",
+         "where[l_partkey==o::l_partkey]", "where[l_quantity<o::l_quantity]"],
+        "SELECT a.l_orderkey AS k, a.l_quantity AS q, b.l_quantity AS o FROM lineitem a JOIN lineitem b "
+        "ON a.l_orderkey = b.l_orderkey AND a.l_partkey = b.l_partkey AND a.l_quantity < b.l_quantity",
+    ),
+    "join_left_outer": Entry(
+        ["in[customer]", "k:c_custkey", "s:c_mktsegment", "status:o::o_orderstatus", "o:join[orders,true]",
+         "where[c_custkey==o::o_custkey]"],
+        "SELECT c_custkey AS k, c_mktsegment AS s, coalesce(o_orderstatus, '') AS status FROM customer "
+        "LEFT JOIN orders ON c_custkey = o_custkey",
+    ),
+    "join_outer_residual": Entry(
+        ["in[customer]", "k:c_custkey", "status:o::o_orderstatus", "o:join[orders,true]", "where[c_custkey==o::o_custkey]",
+         "where[o::o_orderstatus!='F']"],
+        "SELECT k, status FROM (SELECT c_custkey AS k, coalesce(o_orderstatus, '') AS status FROM customer "
+        "LEFT JOIN orders ON c_custkey = o_custkey) WHERE status <> 'F'",
+    ),
+    "join_cross": Entry(
+        ["in[nation]", "n:n_name", "r:right::r_name", "join[region]"],
+        "SELECT n_name AS n, r_name AS r FROM nation CROSS JOIN region",
+    ),
+    "join_theta": Entry(
+        ["in[nation]", "n:n_name", "r:right::r_name", "join[region]", "where[n_regionkey>right::r_regionkey]"],
+        "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey > r_regionkey",
+    ),
+    "join_self": Entry(
+        ["in[nation]", "a:n_name", "b:m::n_name", "m:join[nation]", "where[n_regionkey==m::n_regionkey]",
+         "where[n_nationkey<m::n_nationkey]"],
+        "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey "
+        "AND a.n_nationkey < b.n_nationkey",
+    ),
+    "join_expr_keys": Entry(
+        ["in[nation]", "n:n_name", "r:right::r_name", "join[region]", "where[lower[left[n_name,1]]==lower[left[right::r_name,1]]]"],
+        "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON lower(left(n_name, 1)) = lower(left(r_name, 1))",
+    ),
+    "join_agg": Entry(
+        [LINE, "status:right::o_orderstatus", "n:count[l_orderkey]", "q:round[sum[l_quantity],2]", "join[orders]",
+         "where[l_orderkey==right::o_orderkey]", "where[l_discount>0.05]"],
+        "SELECT o_orderstatus AS status, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem "
+        "JOIN orders ON l_orderkey = o_orderkey WHERE l_discount > 0.05 GROUP BY ALL",
+    ),
+    "join_distinct_sort": Entry(
+        ["in[customer]", "s:c_mktsegment", "p:o::o_orderpriority", "o:join[orders]", "where[c_custkey==o::o_custkey]",
+         "distinct[true]"],
+        "SELECT DISTINCT c_mktsegment AS s, o_orderpriority AS p FROM customer JOIN orders ON c_custkey = o_custkey",
+    ),
+    "pivot_named": Entry(
+        ["in[events]", "user:user_id", "click,view:pivot[event_type,event_id]"],
+        "SELECT user_id AS user, coalesce(CAST(max(CASE WHEN event_type = 'click' THEN event_id END) AS VARCHAR), '') AS click, "
+        "coalesce(CAST(max(CASE WHEN event_type = 'view' THEN event_id END) AS VARCHAR), '') AS view FROM events GROUP BY user_id",
+        ["user_id"],
+    ),
+    "pivot_jagged": Entry(
+        ["in[events]", "user:user_id", "...:pivot[event_type,event_id,true]", "where[user_id<100]"],
+        "SELECT user_id AS user, "
+        + ", ".join(
+            f"coalesce(CAST(max(CASE WHEN event_type = '{t}' THEN event_id END) AS VARCHAR), '') AS {t}"
+            for t in ("click", "error", "purchase", "signup", "view")
+        )
+        + " FROM events WHERE user_id < 100 GROUP BY user_id",
+        ["user_id"],
+    ),
+    "pivot_spread": Entry(
+        ["in[nation]", "...:pivot['r'&n_regionkey,n_name]"],
+        "SELECT " + ", ".join(f"arg_max(n_name, n_nationkey) FILTER (n_regionkey = {k}) AS r{k}" for k in range(5)) + " FROM nation",
+    ),
+    "pivot_used": Entry(
+        ["in[events]", "total:real[click]+real[view]", "user:user_id", "click,view:pivot[event_type,event_id]",
+         "where[click!='']"],
+        "SELECT CAST(c + coalesce(v, 0) AS DOUBLE) AS total, u AS user FROM (SELECT user_id AS u, "
+        "max(CASE WHEN event_type = 'click' THEN event_id END) AS c, max(CASE WHEN event_type = 'view' THEN event_id END) AS v "
+        "FROM events GROUP BY user_id) WHERE c IS NOT NULL",
+        ["user_id"],
+    ),
+}
+
+XML_ROWS = """<top><a>a1</a><c>1</c><c>2</c><a>a2</a><b><c>10</c><c>20</c></b><group><a>a4</a><b><c>1000</c></b></group></top>"""
+TREE = """<L0><L1><L2><L3><L4><x>x0</x></L4></L3></L2></L1><L1/><L1><x>x1</x><L2><x>x2</x></L2></L1></L0>"""
+OPTIONAL = """<top><x><s>A</s><y><c>2</c><a>1</a></y><y><c>3</c></y></x><x><s>B</s><y><b>8</b><a>7</a></y></x></top>"""
+RELAXED = """{ "a": 1, b: one, f: [1, 2,] } { "a": 2 'b': "two" }"""
+LOG = """[17-06-08 21:18:07.01] [INFO] cat - first foo: { a: { b: 1 }, c: "one" } end
+[17-06-08 21:18:07.02] [WARN] dog - second
+goes on
+"""
+
+
+def _document(kind: str, text: str, args: list[str], spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query(spark, args, Documents(spark.createDataFrame([(0, text)], "doc long, text string"), kind))
+
+
+#: Queries over a fixed document: kind, text, arguments, and the rows as SQL.
+DOCUMENTS: dict[str, tuple[str, str, list[str], str]] = {
+    "xml_extract": (
+        "xml", XML_ROWS, ["a", "c"],
+        "SELECT * FROM (VALUES ('a1', '1'), ('a1', '2'), ('a2', '10'), ('a2', '20'), ('a4', '1000')) t(a, c)",
+    ),
+    "xml_group": ("xml", XML_ROWS, ["a", "s:sum[int[c]]"], "SELECT * FROM (VALUES ('a1', 3::BIGINT), ('a2', 30), ('a4', 1000)) t(a, s)"),
+    "structure_fns": (
+        "xml", TREE, ["x", "p:path[x]", "d:depth[x]", "n:nodenum[x]", "up:nodename[x,1]", "l:nodenum[x,L1]", "par:parent[x]"],
+        "SELECT * FROM (VALUES ('x0', 'L0.L1.L2.L3.L4', 5::BIGINT, 6::BIGINT, 'L4', 2::BIGINT, 'L4'), "
+        "('x1', 'L0.L1', 2, 9, 'L1', 8, 'L1'), ('x2', 'L0.L1.L2', 3, 11, 'L2', 8, 'L2')) t(x, p, d, n, up, l, par)",
+    ),
+    "node_ranges": (
+        "xml", TREE, ["s:nodestart[L1]", "e:nodeend[L1]"],
+        "SELECT * FROM (VALUES (2::BIGINT, 6::BIGINT), (7, 7), (8, 11)) t(s, e)",
+    ),
+    "pivot_path": (
+        "xml", TREE, ["p:pivotpath[x]", "x", "where[x!='x0']"],
+        "SELECT * FROM (VALUES ('L0.L1', 'x1'), ('L1', 'x1'), ('L0.L1.L2', 'x2'), ('L1.L2', 'x2'), ('L2', 'x2')) t(p, x)",
+    ),
+    "root_subtree": ("xml", TREE, ["x", "root[8]"], "SELECT * FROM (VALUES ('x1'), ('x2')) t(x)"),
+    "sync_rows": (
+        "xml", OPTIONAL, ["s", "a", "b", "c", "sync[y]"],
+        "SELECT * FROM (VALUES ('A', '1', '', '2'), ('A', '', '', '3'), ('B', '7', '8', '')) t(s, a, b, c)",
+    ),
+    "json_extract": ("json", RELAXED, ["a", "b"], "SELECT * FROM (VALUES ('1', 'one'), ('2', 'two')) t(a, b)"),
+    "log_parse": (
+        "log", LOG, ["t:datetime[time]", "level", "category", "msg"],
+        "SELECT * FROM (VALUES ('2017-06-08 21:18:07.0100', 'INFO', 'cat', 'first foo: end'), "
+        "('2017-06-08 21:18:07.0200', 'WARN', 'dog', 'second' || chr(10) || 'goes on')) t(t, level, category, msg)",
+    ),
+    "log_embedded": ("log", LOG, ["b", "c"], "SELECT * FROM (VALUES ('1', 'one')) t(b, c)"),
+}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter(F.col("l_discount") <= 0.05)
-    return lines.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+    return query(spark, FLAGSHIP, tables=tables(spark, sf_dir))
+
+
+def _entry(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    entry = ENTRIES[name]
+    return query(spark, entry.args, tables=tables(spark, sf_dir), partition=entry.partition)
+
+
+def json_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A property of the JSON text in each event, through the document matcher."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    docs = Documents(events.selectExpr("event_id AS doc", "props AS text"), "json")
+    return query(spark, ["k", "n:count[k]"], docs)
+
+
+def union_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs one after another."""
+    found = tables(spark, sf_dir)["events"]
+    parts = [
+        query(spark, ["id:event_id", f"kind:'{kind}'", f"where[event_type=='{kind}']"], found) for kind in ("click", "view")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns as name and value rows."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS k", "p_brand", "p_type")
+    return parts.unpivot("k", ["p_brand", "p_type"], "name", "value")
+
+
+def count_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query's rows as another's input."""
+    inner = query(spark, ["in[orders]", "c:o_custkey", "distinct[true]"], tables=tables(spark, sf_dir))
+    return query(spark, ["n:count[c]"], inner)
+
+
+def builder_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tables(spark, sf_dir)
+    made = Builder(spark, found["supplier"]).column("right::n_name", "nation").column("count[s_suppkey]", "n")
+    return made.join(found["nation"]).where("s_nationkey==right::n_nationkey").frame()
+
+
+def html_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of raw web pages, which are not well-formed XML; rows only."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    docs = Documents(pages.selectExpr("page_id AS doc", "regexp_extract(html, '(?is)<title>.*?</title>', 0) AS text"), "xml")
+    return query(spark, ["title"], docs)
+
+
+FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "json_path": (json_path, "SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY ALL"),
+    "union_inputs": (
+        union_inputs, "SELECT event_id AS id, event_type AS kind FROM events WHERE event_type IN ('click', 'view')",
+    ),
+    "unpivot": (
+        unpivot,
+        "SELECT p_partkey AS k, 'p_brand' AS name, p_brand AS value FROM part UNION ALL "
+        "SELECT p_partkey, 'p_type', p_type FROM part",
+    ),
+    "count_distinct": (count_distinct, "SELECT count(DISTINCT o_custkey) AS n FROM orders"),
+    "builder_form": (
+        builder_form,
+        "SELECT n_name AS nation, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL",
+    ),
+    "html_titles": (
+        html_titles,
+        "SELECT trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title FROM pages "
+        "WHERE regexp_matches(html, '(?is)<title>.*?</title>')",
+    ),
+}
 
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(_entry, name) for name in ENTRIES}
+    found |= {name: partial(_document, kind, text, args) for name, (kind, text, args, _) in DOCUMENTS.items()}
+    return found | {name: run for name, (run, _) in FUNCTIONS.items()}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    found = {name: e.sql for name, e in ENTRIES.items() if e.sql}
+    found |= {name: sql for name, (_, _, _, sql) in DOCUMENTS.items()}
+    return found | {name: sql for name, (_, sql) in FUNCTIONS.items() if sql}

@@ -1,0 +1 @@
+"""Sources: tables, delimited files, logs and documents."""
