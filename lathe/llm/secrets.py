@@ -157,15 +157,16 @@ def span_digest(found: DataFrame, base_kinds: tuple[str, ...]) -> DataFrame:
     )
     return found.select(
         "doc_id",
-        *(
-            F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}")
-            for kind in base_kinds
-        ),
+        *(_count(kind).alias(f"n_{kind}") for kind in base_kinds),
         F.sha2(shown(F.filter("spans", lambda s: s["kind"].isin(*base_kinds))), 256).alias("base_sha256"),
         shown(F.col("spans")).alias("spans"),
     )
 
 
+def _count(kind: str) -> F.Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     return span_digest(find_secrets(read_table(spark, sf_dir, "documents")), BASE_KINDS)
