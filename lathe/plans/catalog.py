@@ -131,9 +131,9 @@ ENTRIES: dict[str, Entry] = {
     ),
     "cast_fns": Entry(
         ["in[orders]", "k:o_orderkey", "i:int[o_totalprice]", "r:real[o_orderkey]", "b:bool[o_orderkey%2]",
-         "p:int[left[o_orderpriority,1]]", "s:str[o_totalprice,1]", "t:str[o_orderkey]"],
+         "p:int[left[o_orderpriority,1]]", "s:str[o_totalprice,2]", "t:str[o_orderkey]"],
         "SELECT o_orderkey AS k, CAST(trunc(o_totalprice) AS BIGINT) AS i, CAST(o_orderkey AS DOUBLE) AS r, "
-        "o_orderkey % 2 <> 0 AS b, CAST(left(o_orderpriority, 1) AS BIGINT) AS p, printf('%.1f', o_totalprice) AS s, "
+        "o_orderkey % 2 <> 0 AS b, CAST(left(o_orderpriority, 1) AS BIGINT) AS p, regexp_replace(regexp_replace(printf('%.2f', o_totalprice), '0+$', ''), '[.]$', '.0') AS s, "
         "CAST(o_orderkey AS VARCHAR) AS t FROM orders",
     ),
     "type_name": Entry(
@@ -439,7 +439,8 @@ FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     ),
     "html_titles": (
         html_titles,
-        "SELECT trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title FROM pages "
+        "SELECT trim(replace(replace(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), "
+        "'&amp;', '&')) AS title FROM pages "
         "WHERE regexp_matches(html, '(?is)<title>.*?</title>')",
     ),
 }
