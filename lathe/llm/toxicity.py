@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.llm.batches import encode_words, id_and_text, read_table, rebatch, tune
+from lathe.llm.batches import encode_words, id_and_text, ragged_take, read_table, rebatch, tune
 from lathe.llm.nets import F32, Adam, glorot, gru_backward, gru_forward, sigmoid
 
 WINDOW, STRIDE = 48, 36
@@ -34,10 +34,11 @@ FOLDS, HELD_OUT = 4, 2
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds of the training: labelled documents, their longest text, windows of one repeated word, passes, and sizes
-    of the network."""
+    """Bounds of the training: labelled documents, their longest text, characters of texts taken at a time, windows
+    of one repeated word, passes, and sizes of the network."""
 
     documents: int = 6000
+    block: int = 500_000
     longest: int = 200_000
     repeated: int = 400
     passes: int = 10
@@ -133,49 +134,61 @@ class ToxicNet:
         rate = (toxic + k * base) / (count + k)
         return (np.log(rate / (1 - rate + 1e-9)) - np.log(base / (1 - base))).astype(F32)
 
+    def _blocks(self, texts: list[str]):
+        """Documents a few at a time, so that memory is bounded: (first, offsets, codes, table of different words)."""
+        start = 0
+        while start < len(texts):
+            stop, size = start, 0
+            while stop < len(texts) and (size == 0 or size + len(texts[stop]) < self.t.block):
+                size += len(texts[stop])
+                stop += 1
+            offsets, codes, words = encode_words(pa.array(texts[start:stop], pa.string()))
+            yield start, offsets, codes, WordTable(words, self.t.buckets, self.t.grams)
+            start = stop
+
     def _fit(self, texts: list[str], labels: np.ndarray) -> None:
         t = self.t
-        offsets, codes, words = encode_words(pa.array(texts, pa.string()))
-        table = WordTable(words, t.buckets, t.grams)
-        n_docs = len(texts)
-        doc = np.repeat(np.arange(n_docs), np.diff(offsets))
-        pairs = np.unique(doc * len(words) + codes)
-        pair_doc, pair_word = pairs // len(words), pairs % len(words)
-        # Documents with each word and each gram, and toxic ones among them.
-        word_in = np.unique(pair_doc * t.grams + table.word[pair_word])
-        self.word_count = np.bincount(word_in % t.grams, minlength=t.grams).astype(F32)
-        self.word_toxic = np.bincount(word_in % t.grams, weights=labels[word_in // t.grams], minlength=t.grams).astype(F32)
-        starts = np.cumsum(table.gram_count) - table.gram_count
-        n = table.gram_count[pair_word]
-        where = np.repeat(starts[pair_word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        gram_in = np.unique(np.repeat(pair_doc, n) * t.grams + table.gram[where])
-        self.gram_count = np.bincount(gram_in % t.grams, minlength=t.grams).astype(F32)
-        self.gram_toxic = np.bincount(gram_in % t.grams, weights=labels[gram_in // t.grams], minlength=t.grams).astype(F32)
-        inputs, buckets = [], []
-        # The document at hand is left out of its own counts, so what it alone holds tells nothing.
-        out = [self._features(table, label, 1) for label in (0, 1)]
+        self.word_count, self.word_toxic, self.gram_count, self.gram_toxic = (np.zeros(t.grams, F32) for _ in range(4))
+        for first, offsets, codes, table in self._blocks(texts):
+            starts = np.cumsum(table.gram_count) - table.gram_count
+            for k in range(len(offsets) - 1):
+                # A document counts once for each of its words and grams.
+                own = np.unique(codes[offsets[k] : offsets[k + 1]])
+                words = np.unique(table.word[own])
+                grams = np.unique(table.gram[ragged_take(starts, table.gram_count, own)[0]])
+                self.word_count[words] += 1
+                self.gram_count[grams] += 1
+                if labels[first + k]:
+                    self.word_toxic[words] += 1
+                    self.gram_toxic[grams] += 1
         self._final()
-        plain = self._features(table)
-        picked = []
-        for k in range(n_docs):
-            own = codes[offsets[k] : offsets[k + 1]]
-            begin = self._worst(plain[own, 0] + plain[own, 1]) if len(own) else 0
-            piece = own[begin : begin + WINDOW]
-            picked.append(piece)
-            x = np.zeros((WINDOW, self.FEATURES), F32)
-            x[: len(piece)] = out[labels[k]][piece]
-            b = np.full(WINDOW, t.buckets, np.int64)
-            b[: len(piece)] = table.bucket[piece]
-            inputs.append(x), buckets.append(b)
-        # A word said over and over is no more toxic than said once: some windows of a clean document's word alone.
+        inputs, buckets, lengths = [], [], []
         rng = np.random.default_rng(t.seed)
-        clean = [piece for piece, label in zip(picked, labels) if not label and len(piece)]
-        for piece in clean[:: max(1, len(clean) // t.repeated)]:
-            word = rng.choice(piece)
-            inputs.append(np.repeat(out[0][word][None], WINDOW, 0)), buckets.append(np.full(WINDOW, table.bucket[word]))
-            picked.append(np.repeat(word, WINDOW))
-        labels = np.concatenate([labels, np.zeros(len(picked) - n_docs, np.int64)])
-        self._train(np.stack(inputs, 1), np.stack(buckets, 1), np.fromiter(map(len, picked), np.int64), labels)
+        clean = np.flatnonzero(labels == 0)
+        repeated = set(clean[:: max(1, len(clean) // t.repeated)].tolist())
+        extra = []
+        for first, offsets, codes, table in self._blocks(texts):
+            # The document at hand is left out of its own counts, so what it alone holds tells nothing.
+            out = [self._features(table, label, 1) for label in (0, 1)]
+            plain = self._features(table)
+            for k in range(len(offsets) - 1):
+                own = codes[offsets[k] : offsets[k + 1]]
+                begin = self._worst(plain[own, 0] + plain[own, 1]) if len(own) else 0
+                piece = own[begin : begin + WINDOW]
+                x = np.zeros((WINDOW, self.FEATURES), F32)
+                x[: len(piece)] = out[labels[first + k]][piece]
+                b = np.full(WINDOW, t.buckets, np.int64)
+                b[: len(piece)] = table.bucket[piece]
+                inputs.append(x), buckets.append(b), lengths.append(len(piece))
+                if first + k in repeated and len(piece):
+                    # A word said over and over is no more toxic than said once.
+                    word = rng.choice(piece)
+                    extra.append((np.repeat(out[0][word][None], WINDOW, 0), np.full(WINDOW, table.bucket[word])))
+        inputs += [x for x, _ in extra]
+        buckets += [b for _, b in extra]
+        lengths += [WINDOW] * len(extra)
+        labels = np.concatenate([labels, np.zeros(len(extra), np.int64)])
+        self._train(np.stack(inputs, 1), np.stack(buckets, 1), np.array(lengths), labels)
 
     @staticmethod
     def _worst(weight: np.ndarray) -> int:
