@@ -21,6 +21,10 @@ LADDER = ("str", "real", "int", "datetime", "bool", "any")
 class Val:
     col: Column
     type: str
+    #: The value of a literal.
+    literal: object = None
+    #: A text column as the source has it, perhaps null, for filters that a scan can use.
+    raw: Column | None = None
 
 
 def common(*types: str) -> str:
@@ -42,7 +46,8 @@ def of_column(col: Column, kind: T.DataType) -> Val:
         return Val(_datetime(col.cast("timestamp"), F.lit(False)), "datetime")
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
         return Val(F.coalesce(F.to_json(col), F.lit("")), "any")
-    return Val(F.coalesce(col.cast("string"), F.lit("")), "any")
+    raw = col if isinstance(kind, T.StringType) else None
+    return Val(F.coalesce(col.cast("string"), F.lit("")), "any", raw=raw)
 
 
 def _datetime(ts: Column, dateonly: Column) -> Column:

@@ -158,16 +158,29 @@ def _comparison(name: str, test: Callable, on_error: bool) -> None:
     @register(name, 2)
     def build(a: Val, b: Val) -> Val:
         kind = common(a.type, b.type)
+        number = b.literal if isinstance(b.literal, float) and not math.isnan(b.literal) else None
+        if a.type == "int" and number is not None and number == int(number) and abs(number) < 2**53:
+            return Val(test(a.col, F.lit(int(number))), "bool")
         x, y = convert(a, kind), convert(b, kind)
         if kind == "real":
+            if number is not None:
+                # nan is Spark's largest number, so it compares as greater here too; scans can use this form.
+                return Val(test(x, y), "bool")
             # A comparison with nan comes out as "greater".
             return Val(F.when(F.isnan(x) | F.isnan(y), F.lit(on_error)).otherwise(test(x, y)), "bool")
         if kind == "datetime":
             # One without a time of day comes first on its day; what is no datetime compares as greater.
             key = lambda d: F.struct(d["ts"], ~d["dateonly"])
-            return Val(
-                F.when(x["ts"].isNull() | y["ts"].isNull(), F.lit(on_error)).otherwise(test(key(x), key(y))), "bool"
-            )
+            whole = F.when(x["ts"].isNull() | y["ts"].isNull(), F.lit(on_error)).otherwise(test(key(x), key(y)))
+            # The timestamps alone say nearly as much, in a form that scans can use.
+            wider = {"lt": "le", "gt": "ge"}.get(name, name)
+            part = {"le": x["ts"] <= y["ts"], "ge": x["ts"] >= y["ts"], "eq": x["ts"] == y["ts"]}.get(wider)
+            if part is None or b.type != "datetime":
+                return Val(whole, "bool")
+            nulls = x["ts"].isNull() | y["ts"].isNull() if on_error else ~(x["ts"].isNull() | y["ts"].isNull())
+            return Val(whole & ((part | nulls) if on_error else (part & nulls)), "bool")
+        if name == "eq" and kind == "str" and isinstance(b.literal, str) and b.literal and a.raw is not None:
+            return Val(a.raw.eqNullSafe(F.lit(b.literal)), "bool")
         return Val(test(x, y), "bool")
 
 

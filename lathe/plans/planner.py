@@ -12,6 +12,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lathe.functions.coerce import Val, convert, of_column, output
 from lathe.functions.registry import FUNCTIONS
@@ -241,23 +242,23 @@ class Side:
 
     def _table(self, source: Tabular, refs: list[Ref], facts: list[tuple], ordered: bool) -> None:
         df = source.df
-        found = {(r.parts, r.attr): self._find(df, r) for r in refs}
+        columns = []
+        for k, ref in enumerate(refs):
+            # The column as it is: conversions come after, where filters can be rewritten for the scan.
+            name, (col, kind) = f"{self.prefix}c{k}", self._find(df, ref)
+            columns.append(col.alias(name))
+            self.vals[ref.parts, ref.attr] = of_column(F.col(name), kind)
         for fact, parts, argument in facts:
-            found[fact, parts, argument] = self._fact(df, fact, parts, argument)
-        columns, k = [], 0
-        for key, val in found.items():
-            columns.append(val.col.alias(f"{self.prefix}c{k}"))
-            self.vals[key] = Val(F.col(f"{self.prefix}c{k}"), val.type)
-            k += 1
+            self.vals[fact, parts, argument] = self._fact(df, fact, parts, argument)
         if ordered:
             by = [F.col(f"`{c}`") for c in source.order] or [F.monotonically_increasing_id()]
             columns.append((by[0] if len(by) == 1 else F.struct(*by)).alias(self.prefix + "ord"))
         self.df = df.select(*columns) if columns else df.select(F.lit(1).alias(self.prefix + "one"))
         self.order = F.col(self.prefix + "ord")
 
-    def _find(self, df: DataFrame, ref: Ref) -> Val:
+    def _find(self, df: DataFrame, ref: Ref) -> tuple[Column, T.DataType]:
         if ref.attr:
-            return Val(F.lit(""), "any")
+            return F.lit(""), T.StringType()
         parts = [p for p in ref.parts if p != "*"]
         same = (lambda a, b: a == b) if self.case else (lambda a, b: a.lower() == b.lower())
         for skip in range(len(parts)):  # outer names such as row may stand before a column
@@ -265,7 +266,7 @@ class Side:
             kind, name = df.schema, None
             for f in kind.fields:
                 if same(f.name, whole):
-                    return of_column(F.col(f"`{f.name}`"), f.dataType)
+                    return F.col(f"`{f.name}`"), f.dataType
             col = None
             for part in parts[skip:]:
                 f = next((f for f in getattr(kind, "fields", []) if same(f.name, part)), None)
@@ -274,7 +275,7 @@ class Side:
                 name = f"`{f.name}`" if name is None else f"{name}.`{f.name}`"
                 kind, col = f.dataType, F.col(name)
             else:
-                return of_column(col, kind)
+                return col, kind
         raise SpecError(f"Path not matched in input: {ref.name}")
 
     def _fact(self, df: DataFrame, fact: str, parts: tuple, argument: str) -> Val:
@@ -363,7 +364,7 @@ class Planner:
 
     def lower(self, expr: Expr) -> Val:
         if isinstance(expr, Lit):
-            return Val(F.lit(expr.value), expr.kind)
+            return Val(F.lit(expr.value), expr.kind, literal=expr.value)
         if isinstance(expr, Ref):
             if self._is_pivot_name(expr):
                 return self.pivoted[expr.name if self.query.case else expr.name.lower()]
@@ -483,9 +484,9 @@ class Planner:
             marked = right.withColumn("r_here", F.lit(True))
             df = left.join(marked, self._all(on), "left") if on else left.join(marked, F.lit(True), "left")
             vals = self.sides[1].vals
-            for key, val in vals.items():
-                blank = F.lit("") if val.type in ("any", "str") else None
-                vals[key] = Val(F.coalesce(val.col, blank), val.type) if blank is not None else val
+            for key, val in list(vals.items()):
+                if val.type in ("any", "str"):
+                    vals[key] = Val(F.coalesce(val.col, F.lit("")), val.type, raw=val.raw)
             return df, rest
         if "first" not in q.directives:
             both = [w for w in rest if not has_aggregate(w) and self._used(w) == {0, 1} and not self._late(w)]
