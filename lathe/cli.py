@@ -28,16 +28,18 @@ def main(args: list[str], out=None) -> int:
             print(USAGE, file=out)
             return 0
         spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-        planner = Planner(spark, specs, keep_order=True)
+        planner = Planner(spark, specs, keep_order=True, records=False)
         q = planner.query
         if "in" not in q.directives:
             if q.pivot and len(q.pivot.expr.args) > 2 and q.pivot.expr.args[2].value:
                 raise SpecError("This query reads its input twice, so it can't come from standard input")
             with tempfile.NamedTemporaryFile("wb", suffix=".in", delete=False) as spool:
                 shutil.copyfileobj(sys.stdin.buffer, spool)
-            planner.source = open_source(spark, spool.name, q.flag("inheader", True), q.flag("csvonly"))
+            planner.source = open_source(spark, spool.name, q.flag("inheader", True), q.flag("csvonly"), records=False)
         header = q.flag("outheader", True) and q.flag("header", True)
-        write_stream(planner.plan(), out, header)
+        df = planner.plan()
+        planner.check_paths()
+        write_stream(df, out, header)
         return 0
     except SpecError as error:
         print(error, file=sys.stderr)

@@ -20,7 +20,7 @@ from lathe.operators.numbering import number_rows
 from lathe.operators.pivots import pivot, spread_names
 from lathe.plans.spec import Call, Expr, Lit, Ref, Spec, SpecError
 from lathe.sources.files import Documents, Source, Tabular, open_source
-from lathe.sources.tree import Wanted, extract
+from lathe.sources.tree import Wanted, extract, unmatched_paths
 
 DIRECTIVES = {
     "in": (1, 1), "join": (1, 2), "csvonly": (0, 1), "inheader": (0, 1), "joinheader": (0, 1), "outheader": (0, 1),
@@ -216,6 +216,7 @@ class Side:
         self.prefix, self.case = prefix, query.case
         self.vals: dict[object, Val] = {}
         self.part = F.lit(0)
+        self.documents: tuple[Documents, Wanted] | None = None
         if isinstance(source, Documents):
             self._documents(source, refs, facts, query)
         else:
@@ -227,6 +228,7 @@ class Side:
         sync = tuple(c.args[0].parts for c in query.directives.get("sync", []))
         root = query.directives.get("root")
         wanted = Wanted(paths, tuple(asked), sync, int(root[0].args[0].value) if root else 0, query.case)
+        self.documents = source, wanted
         rows = extract(source.docs, source.kind, wanted)
         self.df = rows.select(*(F.col(c).alias(self.prefix + c) for c in rows.columns))
         self.order, self.part = F.col(self.prefix + "ord"), F.col(self.prefix + "part")
@@ -304,11 +306,13 @@ class Planner:
         tables: dict[str, Source | DataFrame] | None = None,
         partition: list[str] | None = None,
         keep_order: bool = False,
+        records: bool = True,
     ):
-        self.spark, self.query = spark, Query(specs)
+        self.spark, self.query, self.records = spark, Query(specs), records
         self.source, self.tables = source, tables or {}
         self.partition, self.keep_order = partition or [], keep_order
         self.pivot_names: list[str] = []
+        self.sides: list[Side] = []
 
     # -- sources
 
@@ -318,7 +322,9 @@ class Planner:
             if call is None:
                 raise SpecError("No input")
             q = self.query
-            found = open_source(self.spark, call.args[0].value, q.flag(header, True), q.flag("csvonly"))
+            found = open_source(
+                self.spark, call.args[0].value, q.flag(header, True), q.flag("csvonly"), records=self.records
+            )
         return found if isinstance(found, (Tabular, Documents)) else Tabular(found)
 
     def _side_of(self, ref: Ref) -> int:
@@ -360,6 +366,15 @@ class Planner:
         op = {"pivotpath": "path", "parent": "nodename"}.get(expr.op, expr.op)
         return op, expr.args[0].parts, "1" if expr.op == "parent" else argument
 
+    def check_paths(self) -> None:
+        """After ``plan``: an error if a path matches nothing in its documents (a pass over them)."""
+        for scope, side in zip(self.query.scopes, self.sides):
+            if side.documents:
+                source, wanted = side.documents
+                for parts in unmatched_paths(source.docs, source.kind, wanted):
+                    where = f"{scope} " if len(self.sides) > 1 else ""
+                    raise SpecError(f"Path not matched in {where}input: {'.'.join(parts)}")
+
     # -- expressions
 
     def lower(self, expr: Expr) -> Val:
@@ -610,11 +625,13 @@ def run(
     tables: dict[str, Source | DataFrame] | None = None,
     partition: list[str] | None = None,
     keep_order: bool = False,
+    records: bool = True,
 ) -> DataFrame:
     """The DataFrame of a query.
 
     ``source`` is the input without ``in[..]``; ``tables`` are inputs that ``in[..]`` and ``join[..]`` name, before
     files; ``partition`` names the columns whose values a tabular pivot's rows share (documents have their own
-    partitions); ``keep_order`` sorts the result as the input unless the query sorts it.
+    partitions); ``keep_order`` sorts the result as the input unless the query sorts it; ``records`` is that of
+    ``open_source``.
     """
-    return Planner(spark, specs, source, tables, partition, keep_order).plan()
+    return Planner(spark, specs, source, tables, partition, keep_order, records).plan()

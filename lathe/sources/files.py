@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lathe.plans.spec import SpecError
-from lathe.sources.tree import log_line, read_documents
+from lathe.sources.tree import column_names, log_line, read_documents
 
 
 @dataclass(frozen=True)
@@ -26,7 +26,7 @@ class Tabular:
 
 @dataclass(frozen=True)
 class Documents:
-    """Texts (doc, text) whose rows a matcher finds; kind is xml, json or log."""
+    """Texts (doc, text) whose rows a matcher finds; kind is one of ``tree.EVENTS``."""
 
     docs: DataFrame
     kind: str
@@ -49,9 +49,18 @@ def sniff(lines: list[str]) -> str:
 
 
 def open_source(
-    spark: SparkSession, name: str, header: bool = True, csv_only: bool = False, kind: str | None = None
+    spark: SparkSession,
+    name: str,
+    header: bool = True,
+    csv_only: bool = False,
+    kind: str | None = None,
+    records: bool = True,
 ) -> Source:
-    """The source at a path."""
+    """The source at a path.
+
+    Delimited records are rows of their own.  With ``records`` false, a file with unequal records goes through the
+    matcher instead: a row is then complete when all its columns have had a field, perhaps of several records.
+    """
     if name.rstrip("/").endswith(".parquet") and kind in (None, "parquet"):
         return Tabular(spark.read.parquet(name))
     try:
@@ -65,21 +74,14 @@ def open_source(
         kind = "csv"
     if kind in ("xml", "json", "log"):
         return Documents(read_documents(spark, name), kind)
-    return Tabular(read_delimited(spark, name, "\t" if kind == "tsv" else ",", header), ("_ord",))
-
-
-def column_names(header: list[str | None], width: int) -> list[str]:
-    """Names of so many columns: the header's, then numbers; a name that is taken gets an underscore in front."""
-    names: list[str] = []
-    for k in range(width):
-        given = header[k] if k < len(header) else None
-        name = re.sub(r"[\x00-\x1f]", "_", given) if given else str(k + 1)
-        while name.lower() in (n.lower() for n in names) or (
-            not given and any(name == (h or "") for h in header[k + 1 :])
-        ):
-            name = "_" + name
-        names.append(name)
-    return names
+    sep = "\t" if kind == "tsv" else ","
+    if not records:
+        count = F.size(F.split("value", re.escape(sep), -1))
+        unquoted = spark.read.text(name).filter(~F.contains("value", F.lit('"')))
+        least, most = unquoted.agg(F.min(count), F.max(count)).first()
+        if least != most:
+            return Documents(read_documents(spark, name), kind if header else f"{kind}-plain")
+    return Tabular(read_delimited(spark, name, sep, header), ("_ord",))
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str, header: bool) -> DataFrame:

@@ -11,10 +11,13 @@ One document is read by one task, front to back; documents are spread over the c
 
 from __future__ import annotations
 
+import csv
 import html
+import io
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -249,7 +252,53 @@ def log_events(text: str) -> Iterator[Event]:
     yield "end", "log"
 
 
-EVENTS = {"xml": xml_events, "json": json_events, "log": log_events}
+def column_names(header: list[str | None], width: int) -> list[str]:
+    """Names of so many columns: the header's, then numbers; a name that is taken gets an underscore in front."""
+    names: list[str] = []
+    for k in range(width):
+        given = header[k] if k < len(header) else None
+        name = re.sub(r"[\x00-\x1f]", "_", given) if given else str(k + 1)
+        while name.lower() in (n.lower() for n in names) or (
+            not given and any(name == (h or "") for h in header[k + 1 :])
+        ):
+            name = "_" + name
+        names.append(name)
+    return names
+
+
+def delimited_events(text: str, sep: str = ",", header: bool = True) -> Iterator[Event]:
+    """Events of delimited text: a ``row`` for each record, an element for each field.
+
+    Short records are padded to the columns known so far; further fields make new, numbered columns.
+    """
+    unix = re.sub(r"\r\n|\r", "\n", text)
+    if unix.endswith("\n"):
+        unix = unix[:-1]
+    reader = csv.reader(io.StringIO(unix.replace('\\"', '""')), delimiter=sep, strict=False)
+    given = next(reader, []) if header else []
+    names = column_names(given, len(given))
+    yield "start", "csv", {}, 1
+    for record in reader:
+        if len(record) > len(names):
+            names = column_names([*names, *[None] * (len(record) - len(names))], len(record))
+        yield "start", "row", {}, reader.line_num
+        for name, value in zip(names, [*record, *[""] * (len(names) - len(record))]):
+            yield "start", name, {}, reader.line_num
+            yield "text", html.escape(value, quote=False)
+            yield "end", name
+        yield "end", "row"
+    yield "end", "csv"
+
+
+EVENTS = {
+    "xml": xml_events,
+    "json": json_events,
+    "log": log_events,
+    "csv": delimited_events,
+    "tsv": partial(delimited_events, sep="\t"),
+    "csv-plain": partial(delimited_events, header=False),
+    "tsv-plain": partial(delimited_events, sep="\t", header=False),
+}
 
 
 @dataclass(frozen=True)
@@ -290,6 +339,7 @@ def path_pattern(parts: tuple[str, ...], case: bool) -> re.Pattern:
 
 @dataclass
 class _Path:
+    parts: tuple[str, ...]
     pattern: re.Pattern
     data: bool
     is_sync: bool
@@ -308,7 +358,7 @@ class Matcher:
         self.wanted = wanted
         every = dict.fromkeys([*wanted.paths, *(f[1] for f in wanted.facts), *wanted.sync])
         self.paths = {
-            parts: _Path(path_pattern(parts, wanted.case), parts in wanted.paths, parts in wanted.sync) for parts in every
+            parts: _Path(parts, path_pattern(parts, wanted.case), parts in wanted.paths, parts in wanted.sync) for parts in every
         }
         self.facts: list[str] = [""] * len(wanted.facts)
         for k, (fact, parts, argument) in enumerate(wanted.facts):
@@ -329,6 +379,7 @@ class Matcher:
         attrs: list[dict[str, str]] = []
         counter, node, inside = 0, 0, self.wanted.root == 0
         root_depth = 0
+        self.matched: set[tuple[str, ...]] = set()
         parts = Partitioner()
         paths = list(self.paths.values())
         opened = 0
@@ -350,6 +401,7 @@ class Matcher:
                 for p in self._matching("/" + "/".join(names)):
                     if p.state != "search":
                         continue
+                    self.matched.add(p.parts)
                     if p.order is None:
                         p.order = counter
                     counter, hit = p.order + 1, True
@@ -484,3 +536,19 @@ def extract(docs: DataFrame, kind: str, wanted: Wanted) -> DataFrame:
     return found.select(
         *names, F.struct("doc", "part").alias("part"), F.struct("doc", "place").alias("ord")
     )
+
+
+def unmatched_paths(docs: DataFrame, kind: str, wanted: Wanted) -> list[tuple[str, ...]]:
+    """Paths that no element of any document matches."""
+
+    def run(batches):
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                matcher = Matcher(wanted)
+                for _ in matcher.rows(EVENTS[kind](text or "")):
+                    pass
+                found = [k for k, parts in enumerate(matcher.paths) if parts in matcher.matched]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32())], ["k"])
+
+    found = {r["k"] for r in docs.select("text").mapInArrow(run, "k int").distinct().collect()}
+    return [parts for k, parts in enumerate(Matcher(wanted).paths) if k not in found]

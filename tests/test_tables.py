@@ -246,6 +246,17 @@ def test_delimited_files(spark, csv, tmp_path):
         open_source(spark, str(tmp_path / "none"))
 
 
+def test_unequal_records_go_through_the_matcher(spark, csv, tmp_path):
+    path = tmp_path / "jagged.csv"
+    path.write_text("a,b\n1,2\n3,\n4\n5,6,7\n8,,9\n,10,11\n,,12\n\n,,,13\n,,,,,\n")
+    source = open_source(spark, str(path), records=False)
+    assert csv(source, ["a", "b", "{3}"]) == ["1,2,7", "8,,9", ",10,11", ",,12", ",,", ",,", ",,"]
+    assert csv(source, ["a", "b", "{3}", "{4}"]) == ["1,2,7,13", ",,,"]
+    assert csv(source, ["a", "b", "{3}", "{4}", "sync[row]"])[:9] == [
+        "1,2,,", "3,,,", "4,,,", "5,6,7,", "8,,9,", ",10,11,", ",,12,", ",,,", ",,,13",
+    ]
+
+
 def test_files_and_echo(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.5, "a,b")], "n long, x double, s string").coalesce(1)
     write_files(df, str(tmp_path / "out"))
@@ -265,6 +276,9 @@ def test_command_line(spark, tmp_path, capsys):
     out = io.StringIO()
     assert main([f"in[{path}]", "k", "where[v>1]", "outheader[false]"], out) == 0
     assert out.getvalue() == "b\na\n"
+    path.write_text("<a><b>1</b></a>")
+    assert main([f"in[{path}]", "b", "zzz"], out) == 255
+    assert "Path not matched in input: zzz" in capsys.readouterr().err
     assert main(["--help"], out) == 0
     assert main(["nope["], out) == 255 and capsys.readouterr().err
 
