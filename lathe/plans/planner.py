@@ -105,16 +105,19 @@ class Query:
             return
         if isinstance(expr, Call) and expr.op == "pivot":
             if not spec.names:
-                raise SpecError("Pivot requires column names")
+                raise SpecError("Pivot function requires column names, which can include spread (...)")
             if self.pivot:
                 raise SpecError("Expression can only be used once: pivot")
-            if any(has_aggregate(a) for a in expr.args):
-                raise SpecError("Pivot arguments cannot be aggregates")
-            if any(isinstance(e, Ref) and e.scope == self.scopes[1] for a in expr.args for e in walk(a)):
-                raise SpecError("Pivot arguments cannot be joined paths")
+            for what, arg in zip(("names", "values"), expr.args):
+                if has_aggregate(arg):
+                    raise SpecError(f"Pivot {what} argument must not contain aggregate functions")
+                if any(isinstance(e, Ref) and e.scope == self.scopes[1] for e in walk(arg)):
+                    raise SpecError(f"Pivot {what} argument must not contain joined paths")
             self.pivot = spec
         elif len(spec.names) > 1 or "..." in spec.names:
-            raise SpecError("Several column names require a pivot")
+            if "..." in spec.names and len(spec.names) == 1:
+                raise SpecError("Column name spread (...) only valid for pivot function")
+            raise SpecError("Multiple column names only valid for pivot function")
         if isinstance(expr, Call) and expr.op == "hidden" and not spec.names:
             raise SpecError("A hidden column requires a name")
         self.columns.append(spec)
@@ -152,7 +155,7 @@ class Query:
             if spec is None or (within and spec is within[-1]):
                 return expr
             if spec in within:
-                raise SpecError(f"Circular column reference: {expr.name}")
+                raise SpecError(f"Circular column reference: {within[1].title if len(within) > 1 else expr.name}")
             found = spec.expr
             if isinstance(found, Call) and found.op == "hidden":
                 found = found.args[0]
@@ -214,6 +217,7 @@ class Side:
 
     def __init__(self, source: Source, prefix: str, refs: list[Ref], facts: list[tuple], query: Query, ordered: bool):
         self.prefix, self.case = prefix, query.case
+        self.where = "joined " if prefix == "r_" else ""
         self.vals: dict[object, Val] = {}
         self.part = F.lit(0)
         self.documents: tuple[Documents, Wanted] | None = None
@@ -278,7 +282,7 @@ class Side:
                 kind, col = f.dataType, F.col(name)
             else:
                 return col, kind
-        raise SpecError(f"Path not matched in input: {ref.name}")
+        raise SpecError(f"Path not matched in {self.where}input: {ref.name}")
 
     def _fact(self, df: DataFrame, fact: str, parts: tuple, argument: str) -> Val:
         self._find(df, Ref(parts))
@@ -313,6 +317,7 @@ class Planner:
         self.partition, self.keep_order = partition or [], keep_order
         self.pivot_names: list[str] = []
         self.sides: list[Side] = []
+        self.pivot_check: tuple | None = None
 
     # -- sources
 
@@ -368,12 +373,16 @@ class Planner:
 
     def check_paths(self) -> None:
         """After ``plan``: an error if a path matches nothing in its documents (a pass over them)."""
-        for scope, side in zip(self.query.scopes, self.sides):
+        for side in self.sides:
             if side.documents:
                 source, wanted = side.documents
                 for parts in unmatched_paths(source.docs, source.kind, wanted):
-                    where = f"{scope} " if len(self.sides) > 1 else ""
-                    raise SpecError(f"Path not matched in {where}input: {'.'.join(parts)}")
+                    raise SpecError(f"Path not matched in {side.where}input: {'.'.join(parts)}")
+        if self.pivot_check:
+            rows, name, part, order, named = self.pivot_check
+            found = set(spread_names(rows, name, part, order, True))
+            if missing := [n for n in named if n not in found]:
+                raise SpecError(f"Pivot columns not found in input: {', '.join(missing)}")
 
     # -- expressions
 
@@ -422,13 +431,17 @@ class Planner:
             raise SpecError("No input")
         self.ordered = self._needs_order()
         left = self._open((q.directives.get("in") or [None])[0], "inheader")
-        if not any(s for s in q.columns):
-            return self._echo(left)
         refs, facts = self._collect()
-        if joined and not (refs[0] or facts[0]) or joined and not (refs[1] or facts[1]):
-            raise SpecError("A join requires a path of either side")
-        if "sort" in q.directives and not any(refs) and not any(facts):
-            raise SpecError("Sorting requires an input path")
+        if not q.columns and not joined and not {"sort", "distinct"} & set(q.directives):
+            return self._echo(left)
+        if joined and not (refs[1] or facts[1]):
+            raise SpecError("A join requires at least one joined path reference")
+        if joined and not (refs[0] or facts[0]):
+            raise SpecError("Joins require least one input path reference")
+        if not any(refs) and not any(facts):
+            for name, shown in (("sort", "Sorts require"), ("distinct", "Use of distinct requires")):
+                if name in q.directives:
+                    raise SpecError(f"{shown} least one input path reference")
         self.sides = [Side(left, "l_", refs[0], facts[0], q, self.ordered or bool(q.pivot))]
         df, self.order = self.sides[0].df, self.sides[0].order
         if q.pivot:
@@ -472,6 +485,7 @@ class Planner:
         everywhere = len(call.args) > 2 and bool(call.args[2].value)
         named = [n for n in q.pivot.names if n != "..."]
         found = []
+        self.pivot_check = (df, name, part, side.order, named)
         if "..." in q.pivot.names:
             found = [n for n in spread_names(df, name, part, side.order, everywhere) if n not in named]
         self.pivot_names = []

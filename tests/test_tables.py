@@ -200,13 +200,24 @@ def test_builder_and_typed_columns(spark):
         (["a+where[b]"], "Top-level expression only: where"),
         (["a", "top[1]", "top[2]"], "Expression can only be used once: top"),
         (["+a"], "Infix positive operator not supported"),
-        (["{a"], "Unbalanced braces"),
+        (["{a"], 'Expected "}", got "end of argument"'),
         (["[a"], 'Expected "]"'),
         (["len[a"], 'Expected "," or "]"'),
-        (["a,b:c"], "Several column names require a pivot"),
+        (["a,b:len[a]"], "Multiple column names only valid for pivot function"),
+        (["...:len[a]"], "Column name spread (...) only valid for pivot function"),
+        (["a,b,:pivot[a,b]"], "Expected a column name after comma"),
+        (["x:pivot[sum[a],b]"], "Pivot names argument must not contain aggregate functions"),
+        (["1", "sort[1]"], "Sorts require least one input path reference"),
+        (["1", "distinct[true]"], "Use of distinct requires least one input path reference"),
+        (["9t"], 'Expected "end of argument", got "t"'),
+        (["--"], 'Expected "identifier", got "end of argument"'),
+        (["pivot[a"], 'Expected "," or "]", got "end of argument"'),
+        (["a*.b"], 'Unexpected "."'),
+        (["min[a,"], "Missing expression"),
+        (["a1:a3", "a2:a1", "a3:a2"], "Circular column reference: a3"),
         (["depth[1]"], "First argument must be a path reference"),
-        (["pivot[a,b]"], "Pivot requires column names"),
-        (["a b)"], "Unexpected token"),
+        (["pivot[a,b]"], "Pivot function requires column names, which can include spread (...)"),
+        (["a b)"], 'Expected "end of argument", got ")"'),
     ],
 )
 def test_errors(spark, args, message):
