@@ -106,9 +106,10 @@ ENTRIES: dict[str, Entry] = {
         "floor(exp(c_acctbal / 10000) * 1e6 + 0.5) / 1e6 AS e FROM customer",
     ),
     "log_edges": Entry(
-        ["in[nation]", "k:n_nationkey", "zero:log[n_nationkey-5]", "root:sqrt[n_nationkey-5]"],
-        "SELECT CAST(n_nationkey AS BIGINT) AS k, CASE WHEN n_nationkey = 5 THEN '-inf'::DOUBLE WHEN n_nationkey < 5 THEN "
-        "'nan'::DOUBLE ELSE ln(n_nationkey - 5.0::DOUBLE) END AS zero, CASE WHEN n_nationkey < 5 THEN 'nan'::DOUBLE ELSE "
+        ["in[nation]", "k:n_nationkey", "zero:str[log[n_nationkey-5],6]", "root:sqrt[n_nationkey-5]"],
+        "SELECT CAST(n_nationkey AS BIGINT) AS k, CASE WHEN n_nationkey = 5 THEN '-inf' WHEN n_nationkey < 5 THEN "
+        "'nan' ELSE regexp_replace(regexp_replace(printf('%.6f', ln(n_nationkey - 5.0::DOUBLE)), '0+$', ''), '[.]$', '.0') "
+        "END AS zero, CASE WHEN n_nationkey < 5 THEN 'nan'::DOUBLE ELSE "
         "sqrt(n_nationkey - 5.0::DOUBLE) END AS root FROM nation",
     ),
     "min_max_scalar": Entry(
