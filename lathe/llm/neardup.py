@@ -8,14 +8,18 @@ Documents with equal sets are one node from the start.  A bucket's candidates fo
 so a bucket of n nodes gives n - 1 pairs.  All candidates are confirmed on full sets of freshly cut shingles, and
 confirmed links joined to components.  Members that a star leaves in different components are dealt with exactly: the
 Jaccard distance is a metric, so nodes at distances d and e from the centre are at least ``abs(d - e)`` apart, which
-rules out most pairs unseen; for the rest of the bucket further stars follow, until each bucket's members are in one
-component or have been tested.  Nothing is capped.
+rules out most pairs unseen.  Of buckets with the same members one is kept.  What is left of a bucket of at most
+``Settings.block`` members goes to one task, which counts the shingles that members outside the largest component share
+with all others from an inverted list, and gives the links between components.  Larger buckets get further stars around
+members outside the largest component until they are as small, or in one component, or all such members have been
+centres.  Nothing is capped.
 
 With 64 bands of 6 bins a pair of likeness 0.75 shares no bucket with probability 4e-6.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -27,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.llm.batches import encode_words, read_table, rebatch, tune
+from lathe.llm.batches import encode_words, ragged_take, read_table, rebatch, tune
 from lathe.llm.components import components
 from lathe.llm.shared import written
 
@@ -42,7 +46,9 @@ class Settings:
     bands: int = 64
     rows: int = 6
     #: Centres of a bucket in each round after the first.
-    stars: int = 8
+    stars: int = 32
+    #: Members of a bucket that one task takes at once (a text of each is in memory).
+    block: int = 5000
 
     @property
     def bins(self) -> int:
@@ -227,15 +233,77 @@ def near_links(docs: DataFrame, sigs: DataFrame, settings: Settings) -> DataFram
         rest = _open_buckets(rest, labels)
         if rest is None:
             return labels
+        sizes = rest.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+        more = _block_links(rest.join(sizes.filter(F.col("n") <= settings.block).select("band"), "band"), texts, settings)
+        rest = written(rest.join(sizes.filter(F.col("n") > settings.block).select("band"), "band"), "large")
+        if rest.isEmpty():
+            return _joined(labels, written(more, "links"))
         near, pairs = _stars(rest, settings.stars)
         found = written(confirmed(pairs, texts, settings), "confirmed")
-        more = linked(found).select("a", "b")
-        known = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a != b")
-        if not more.isEmpty():
-            labels = written(components(known.unionByName(more)), "labels")
+        labels = _joined(labels, written(more.unionByName(linked(found).select("a", "b")), "links"))
         rest = _after_stars(rest, near, found, settings)
 
 
+def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Components with further links."""
+    if more.isEmpty():
+        return labels
+    known = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a != b")
+    return written(components(known.unionByName(more)), "labels")
+
+
+def _block_links(rest: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """Links that join components within small buckets: (a, b).  ``rest`` has band, node, label."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = shingle_sets(_unpack(table.column("packed").combine_chunks()), settings.words)
+        nodes = table.column("node").to_pylist()
+        pairs = block_links(sets, table.column("label").to_pylist(), settings.likeness)
+        return pa.table(
+            {
+                "a": pa.array([nodes[i] for i, _ in pairs], pa.int64()),
+                "b": pa.array([nodes[j] for _, j in pairs], pa.int64()),
+            }
+        )
+
+    with_texts = rest.join(texts, "node").select("band", "node", "label", "packed")
+    return with_texts.groupBy("band").applyInArrow(run, "a long, b long")
+
+
+def block_links(sets: list[np.ndarray], labels: list[int], likeness: int) -> list[tuple[int, int]]:
+    """Pairs of sets as like as that which join the components in ``labels`` (a spanning forest of them)."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(codes, kind="stable")
+    listed, starts = owner[order], np.searchsorted(codes[order], np.arange(len(flat) + 1))
+    ends = np.cumsum(sizes)
+    root = {label: label for label in labels}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    found = []
+    # Each pair of components has one that is not the largest.
+    largest = Counter(labels).most_common(1)[0][0] if labels else None
+    for i in range(len(sets)):
+        if labels[i] == largest:
+            continue
+        own = codes[ends[i] - sizes[i] : ends[i]]
+        positions, _ = ragged_take(starts[:-1], np.diff(starts), own)
+        common = np.bincount(listed[positions], minlength=len(sets))
+        near = np.flatnonzero(common * 100 >= (sizes[i] + sizes - common) * likeness)
+        for j in near.tolist():
+            x, y = find(labels[i]), find(labels[j])
+            if x != y:
+                root[x] = y
+                found.append((min(i, j), max(i, j)))
+    return found
+
+
 def _of_node(wanted: DataFrame, settings: Settings) -> DataFrame:
     """(node, packed) of rows whose text has the node they were joined to, one for each."""
 
@@ -255,22 +323,30 @@ def _open_buckets(rest: DataFrame, labels: DataFrame) -> DataFrame | None:
     named = rest.join(labels.select("node", "component"), "node", "left").select(
         "band", "node", F.coalesce("component", "node").alias("label")
     )
-    several = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
+    several = named.groupBy("band").agg(
+        F.min("label").alias("x"),
+        F.max("label").alias("y"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members"),
+    )
+    several = several.filter("x != y").groupBy("n", "members").agg(F.min("band").alias("band"))
     table = written(named.join(several.select("band"), "band"), "open")
     return None if table.isEmpty() else table
 
 
 def _stars(rest: DataFrame, stars: int) -> tuple[DataFrame, DataFrame]:
-    """Each open bucket's centres (band, centre, label, first), and pairs to test.
+    """Each open bucket's centres (band, centre, own, first), outside its largest component, and pairs to test.
 
     The first centre is tested with all members, further ones with those of other components.
     """
-    part = F.pmod(F.col("node"), F.lit(stars))
-    centres = rest.groupBy("band", part.alias("part")).agg(F.min("node").alias("centre"))
-    first = rest.groupBy("band").agg(F.min("node").alias("least"))
-    centres = centres.join(first, "band").join(
-        rest.select("band", F.col("node").alias("centre"), F.col("label").alias("own")), ["band", "centre"]
+    counts = rest.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+    others = rest.join(largest, "band").filter(F.col("label") != F.col("largest"))
+    centres = others.groupBy("band", F.pmod(F.col("node"), F.lit(stars)).alias("part")).agg(
+        F.min_by(F.struct(F.col("node").alias("centre"), F.col("label").alias("own")), "node").alias("c")
     )
+    first = others.groupBy("band").agg(F.min("node").alias("least"))
+    centres = centres.select("band", "c.*").join(first, "band")
     near = written(centres.select("band", "centre", "own", (F.col("centre") == F.col("least")).alias("first")), "centres")
     pairs = rest.join(near, "band").filter(
         (F.col("node") != F.col("centre")) & (F.col("first") | (F.col("label") != F.col("own")))
