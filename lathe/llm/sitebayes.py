@@ -25,6 +25,8 @@ from lathe.llm.quality import duplicate_lines, repeated_words
 from lathe.llm.shared import written
 from lathe.llm.toxicity import held_out
 
+#: Bytes of text taken at a time: each has some numbers of its own.
+BLOCK = 2 << 20
 #: Posterior from which a document is kept.
 THRESHOLD = 0.5
 
@@ -91,7 +93,7 @@ class Evidence:
         self.weights = None
         if not 0 < labels.sum() < len(labels):
             return
-        x = make_up(pa.array(texts, pa.string()))
+        x = np.concatenate([make_up(pa.array(texts[k : k + 200], pa.string())) for k in range(0, len(texts), 200)])
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
         x = np.column_stack([np.clip((x - self.mean) / self.scale, -6, 6), np.ones(len(x))])
         w = np.zeros(x.shape[1])
@@ -161,7 +163,7 @@ def classify(
     site = lambda c: F.coalesce(df[c].cast("string"), F.lit("\x00")) if c and c in df.columns else F.lit("")
 
     def run(batches):
-        for batch in rebatch(batches, "text"):
+        for batch in rebatch(batches, "text", BLOCK):
             found = evidence.log_odds(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("host"), batch.column("path"), pa.array(found)],
