@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TARGET_BYTES = 8 << 20
+TARGET_BYTES = 4 << 20
 #: Rows per Arrow batch between the JVM and Python: small, as one row may hold a very long text.
 ARROW_ROWS = 1024
 

@@ -24,8 +24,8 @@ from lathe.llm.batches import encode_words, id_and_text, ragged_take, read_table
 from lathe.llm.nets import F32, Adam, glorot, gru_backward, gru_forward, sigmoid
 
 WINDOW, STRIDE = 48, 36
-#: Windows scored together.
-BATCH = 4096
+#: Windows scored together, and different words turned into vectors together.
+BATCH, WORDS = 2048, 20_000
 GRAMS = (3, 4, 5, 6, 7)
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.3
@@ -283,12 +283,12 @@ class ToxicNet:
             return np.full(len(texts), self.base)
         p = self.p
         offsets, codes, words = encode_words(texts)
-        table = WordTable(words, self.t.buckets, self.t.grams)
-        most, least, mean = table.over_grams(self.gram_odds)
-        x = np.concatenate(
-            [np.stack([self.word_odds[table.word], most, least, mean], axis=1), table.spelling, p["embed"][table.bucket]],
-            axis=1,
-        )
+        parts = []
+        for k in range(0, len(words), WORDS):
+            table = WordTable(words[k : k + WORDS], self.t.buckets, self.t.grams)
+            odds = np.stack([self.word_odds[table.word], *table.over_grams(self.gram_odds)], axis=1)
+            parts.append(np.concatenate([odds, table.spelling, p["embed"][table.bucket]], axis=1))
+        x = np.concatenate(parts) if parts else np.zeros((0, self.FEATURES + self.t.embed), F32)
         blank = np.concatenate([np.zeros((1, self.FEATURES), F32), p["embed"][-1:]], axis=1)
         x = np.concatenate([x, blank]).astype(F32)
         zf, zb = x @ p["wf"] + p["bf"], x @ p["wb"] + p["bb"]
