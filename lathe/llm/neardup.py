@@ -382,6 +382,18 @@ def find_near_duplicates(
     class's.  An empty table gives an empty one; other columns of ``df`` are left out.  ``text_key`` tells rows with one
     id apart.
     """
+    named = _classes(df, settings, id_col, text_col)
+    least = named.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least"))
+    return named.join(least, "label", "left").select(
+        "doc_id",
+        "text_key",
+        "n_shingles",
+        F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
+    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _classes(df: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_key, n_shingles, node, label) of each row, as a table; label names its class, null for an empty set."""
     docs = _keyed(df, id_col, text_col)
     sigs = written(signed(docs, settings), "signatures")
     labels = near_links(docs, sigs, settings)
@@ -392,38 +404,30 @@ def find_near_duplicates(
         named = own.join(labels.select("node", "component"), "node", "left").select(
             own.columns + [F.coalesce("component", "node").alias("label")]
         )
-    named = written(named, "classes")
-    least = named.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "label", "left").select(
-        "doc_id",
-        "text_key",
-        "n_shingles",
-        F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return written(named, "classes")
 
 
 def keep_one(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``df``, with all its columns, for each class of near duplicates; rows with empty sets all stay."""
-    found = written(find_near_duplicates(df, settings, id_col, text_col), "verdicts")
-    text_key = F.xxhash64(F.coalesce(df[text_col].cast("string"), F.lit("")))
-    keys = F.coalesce(df[id_col].cast("long"), F.lit(NO_ID))
-    gone = found.filter(~F.col("kept")).select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_key").alias("_key")
+    """One row of ``df``, with all its columns, for each class of near duplicates; rows with empty sets all stay.
+
+    Of a class the row with the least id stays (null ids last), then that with the least text key.
+    """
+    named = _classes(df, settings, id_col, text_col).filter(F.col("label").isNotNull())
+    rows = named.groupBy("label", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("y"), F.col("text_key").alias("z"))
+    first = rows.groupBy("label").agg(F.min(order).alias("first"))
+    verdicts = written(rows.join(first, "label").withColumn("stays", order == F.col("first")), "verdicts")
+    names = [F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")]
+    gone, several = verdicts.filter("not stays").select(names), verdicts.filter("stays and n > 1").select(names)
+    same = df[id_col].cast("long").eqNullSafe(F.col("_id")) & (
+        F.xxhash64(F.coalesce(df[text_col].cast("string"), F.lit(""))) == F.col("_key")
     )
-    rest = df.join(gone.distinct(), (keys == F.col("_id")) & (text_key == F.col("_key")), "left_anti")
-    several = found.filter("kept and n_shingles > 0").groupBy(F.coalesce("doc_id", F.lit(NO_ID))).count()
-    if several.filter("count > 1").isEmpty():
+    rest = df.join(gone, same, "left_anti")
+    if several.isEmpty():
         return rest
-    # Rows with one id in one class: the one with the least text key stays, once.
-    with_key = rest.withColumn("_key", text_key).withColumn("_id", keys)
-    first = (
-        found.filter("kept and n_shingles > 0")
-        .groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"))
-        .agg(F.min("text_key").alias("_least"))
-    )
-    chosen = with_key.join(first, "_id").filter(F.col("_key") == F.col("_least")).dropDuplicates(["_id"])
-    empty = with_key.join(first, "_id", "left_anti")
-    return chosen.select(df.columns).unionByName(empty.select(df.columns))
+    # Equal rows by id and text: one of them stays.
+    single = df.join(several, same).dropDuplicates(["_id", "_key"])
+    return rest.join(several, same, "left_anti").unionByName(single.select([single[c] for c in df.columns]))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

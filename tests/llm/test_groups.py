@@ -128,6 +128,18 @@ def test_keep_one(spark, hard):
     assert left[7] == 1 and left[5] == 2 and left[None] == 0
 
 
+def test_keep_one_keeps_each_class(spark):
+    """Rows with null ids or one id and unlike texts are classes of their own."""
+    text = lambda k: " ".join(f"{k}w{j}" for j in range(12))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (None, text(3)), (None, ""), (None, None)]
+    rows += [(3, text(4)), (3, text(5)), (3, ""), (3, " "), (4, text(5)), (6, text(6)), (6, text(6)), (6, "")]
+    rows += [(None, text(6)), (-(2**63), text(7)), (None, text(7))]
+    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, text(k)) for k in (1, 2, 3)] + [(None, ""), (None, None), (3, text(4)), (3, text(5)), (3, ""), (3, " ")]
+    want += [(6, text(6)), (6, ""), (-(2**63), text(7))]
+    assert Counter(map(tuple, kept)) == Counter(want)
+
+
 def test_pipeline_stages(spark, docs):
     """Each stage against its operator's own verdicts on its predecessor's rows."""
     columns = docs.columns
