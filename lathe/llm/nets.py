@@ -57,6 +57,28 @@ def lstm_forward(z: np.ndarray, u: np.ndarray, keep: bool = False):
     return (states, kept) if keep else states
 
 
+def lstm_states(z: np.ndarray, x: np.ndarray, u: np.ndarray, at=None):
+    """States of an LSTM over symbols x (steps, batch), without gradients, and the last state and cell.
+
+    ``z`` has the projected input of each symbol; ``at`` is the state and cell to begin with.
+    """
+    steps, batch = x.shape
+    h = u.shape[0]
+    # sigmoid(a) = (1 + tanh(a / 2)) / 2, so one tanh serves all gates.
+    half = np.repeat(np.array([0.5, 1], F32), [3 * h, h])
+    z, u = z * half, u * half
+    state, cell = at if at else (np.zeros((batch, h), F32), np.zeros((batch, h), F32))
+    states = np.empty((steps, batch, h), F32)
+    for t in range(steps):
+        a = state @ u
+        a += z[x[t]]
+        np.tanh(a, out=a)
+        gates = a[:, : 3 * h] * F32(0.5) + F32(0.5)
+        cell = gates[:, h : 2 * h] * cell + gates[:, :h] * a[:, 3 * h :]
+        state = np.multiply(gates[:, 2 * h :], np.tanh(cell), out=states[t])
+    return states, (state, cell)
+
+
 def lstm_backward(d_states: np.ndarray, u: np.ndarray, kept: list) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of the projected inputs and of ``u``."""
     steps, batch, h = d_states.shape
@@ -174,3 +196,28 @@ def viterbi(emit: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray
         margin[t] = best - whole.max(1)
         ahead = (trans + (emit[t] + ahead)[:, None, :]).max(2)
     return tags, margin
+
+
+def best_tags(emit: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``viterbi``, for emissions (steps, tags, batch): best tags by max-marginals, and their margins."""
+    steps, n, batch = emit.shape
+    score = np.empty_like(emit)
+    ways = np.empty((n, n, batch), F32)
+    into, out = trans.T[:, :, None].astype(F32), trans[:, :, None].astype(F32)
+    score[0] = emit[0]
+    for t in range(1, steps):
+        np.add(score[t - 1], into, out=ways)
+        np.max(ways, axis=1, out=score[t])
+        score[t] += emit[t]
+    tags, margin = np.empty((steps, batch), np.int8), np.empty((steps, batch), F32)
+    ahead = np.zeros((n, batch), F32)
+    for t in range(steps - 1, -1, -1):
+        whole = score[t]
+        whole += ahead
+        best = whole.max(0)
+        tags[t] = whole.argmax(0)
+        np.put_along_axis(whole, tags[t][None].astype(np.int64), -np.inf, 0)
+        margin[t] = best - whole.max(0)
+        np.add(emit[t] + ahead, out, out=ways)
+        np.max(ways, axis=1, out=ahead)
+    return tags, margin

@@ -4,10 +4,11 @@ The network is trained in numpy on labelled spans: a seeded generator writes e-m
 telephone numbers in many spellings into prose of made-up words, among look-alikes (dates, prices, digests, versions,
 identifiers) that are labelled as nothing.  It thus needs no pass over the corpus, and is the same for every input.
 
-A span must hold a digit or an at sign, so only windows with one are decoded; no other window can give a span.  Windows
-overlap by half.  Each is decoded alone; then all windows' spans of a text are reconciled: spans that a window cut off
-are left to its neighbours, and of overlapping ones that with the larger margin stays.  Base spans always stay, and
-spans of the network that touch one are dropped.
+A span must hold a digit or an at sign, so only texts with one are decoded, in windows that overlap by half.  A text's
+position has its emissions from the window where it is most central; they are joined to those of the whole text, over
+which the CRF is decoded once, so a span may be of any length and lie anywhere.  Where bounds show that the best path
+over the whole text has no span, the CRF's search is left out (``SpanNet.runs``).  Base spans always stay, and spans of
+the network that touch one are dropped.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathe.llm.batches import id_and_text, read_table, rebatch, tune
-from lathe.llm.nets import F32, Adam, crf_gradient, glorot, lstm_backward, lstm_forward, viterbi
+from lathe.llm.nets import F32, Adam, best_tags, crf_gradient, glorot, lstm_backward, lstm_forward, lstm_states, viterbi
 from lathe.llm.secrets import span_digest
 
 KINDS = ("email", "ip", "card", "phone")
@@ -36,6 +37,8 @@ PHONE = re.compile("\\+[0-9][\\x20().0-9-]+[0-9]")
 DIGITS = re.compile("[0-9]")
 
 WINDOW, STRIDE = 64, 32
+#: Positions at either side of a window that are more central in its neighbour.
+HALO = (WINDOW - STRIDE) // 2
 #: Windows decoded together.
 BATCH = 2048
 SYMBOLS = 132
@@ -275,6 +278,68 @@ class SpanNet:
         tags, margin = viterbi(emit, p["trans"] + self.barred)
         return tags.T, margin.T
 
+    def emissions(self, inputs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Emissions of the middle STRIDE positions of windows, and of the HALO positions before these of ``first``."""
+        p, x = self.p, inputs.T
+        ahead, _ = lstm_states(self.forward_in, x[: WINDOW - HALO], p["uf"])
+        behind, (state, cell) = lstm_states(self.backward_in, x[: HALO - 1 : -1], p["ub"])
+        emit = lambda a, b: np.concatenate([a, b], axis=2).swapaxes(0, 1) @ p["out"] + p["bias"]
+        middle = emit(ahead[HALO:], behind[HALO:][::-1])
+        behind, _ = lstm_states(self.backward_in, x[HALO - 1 :: -1, first], p["ub"], (state[first], cell[first]))
+        return middle, emit(ahead[:HALO, first], behind[::-1])
+
+    def runs(self, emit: np.ndarray) -> list[tuple[int, int]]:
+        """Parts of a whole text outside which the best path has no spans: (start, end).
+
+        A span is on the best path only if it gains over none at its positions.  Its emissions and inner transitions are
+        added up from sums over the text, and the transitions at its ends taken at their best.
+        """
+        trans = self.p["trans"].astype(np.float64)
+        ends = 2 * float(trans.max() - trans.min()) + 0.01
+        own = np.arange(1, self.TAGS, 2)
+        first = emit[:, own] - emit[:, :1] + (trans[own, own + 1] - trans[own + 1, own + 1])
+        first += ends + np.abs(trans[own, own + 1] - trans[own + 1, own + 1])
+        further = np.cumsum(emit[:, own + 1] - emit[:, :1] + trans[own + 1, own + 1] - trans[0, 0], axis=0, dtype=np.float64)
+        most = np.maximum.accumulate(further[::-1], axis=0)[::-1]
+        starts, kinds = np.nonzero(first + (most - further) > 0)
+        if not len(starts):
+            return []
+        stops = np.empty(len(starts), np.int64)
+        for k in range(len(KINDS)):
+            which = np.flatnonzero(kinds == k)
+            low = further[starts[which], k] - first[starts[which], k]
+            # ``most`` falls, so the last position above ``low`` is found by bisection.
+            stops[which] = len(emit) - np.searchsorted(most[::-1, k], low, side="right")
+        reach = np.maximum.accumulate(np.maximum(stops, starts + 1))
+        breaks = np.flatnonzero(starts[1:] > reach[:-1] + 1)
+        begin = starts[np.concatenate(([0], breaks + 1))]
+        end = np.minimum(reach[np.concatenate((breaks, [len(starts) - 1]))] + 1, len(emit))
+        return list(zip(begin.tolist(), end.tolist()))
+
+    def best(self, runs: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Tags and margins of runs of emissions, each with none before and after it."""
+        found: list = [None] * len(runs)
+        order = sorted(range(len(runs)), key=lambda k: len(runs[k]))
+        trans = self.p["trans"] + self.barred
+        at = 0
+        while at < len(order):
+            # Runs of about one length together, in bounded memory.
+            length = max(16, len(runs[order[at]]) * 5 // 4)
+            stop = at + 1
+            while stop < len(order) and len(runs[order[stop]]) <= length and (stop - at) * length < BATCH * STRIDE:
+                stop += 1
+            length = len(runs[order[stop - 1]]) + 1
+            emit = np.full((length, self.TAGS, stop - at), -1e4, F32)
+            emit[:, 0] = 0
+            for col, k in enumerate(order[at:stop]):
+                emit[: len(runs[k]), :, col] = runs[k]
+            emit[0] += trans[0][:, None]
+            tags, margin = best_tags(emit, trans)
+            for col, k in enumerate(order[at:stop]):
+                found[k] = tags[: len(runs[k]), col], margin[: len(runs[k]), col]
+            at = stop
+        return found
+
 
 @lru_cache(maxsize=2)
 def trained(training: Training = Training()) -> SpanNet:
@@ -295,39 +360,24 @@ def cues(texts: pa.Array) -> np.ndarray:
     return found
 
 
-def windows_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the windows with a cue, and their inputs."""
+def windows_of(text: str) -> np.ndarray:
+    """Inputs of all windows of a text; the middles, with the first window's beginning, cover it."""
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
-    cue = np.flatnonzero(((codes >= 48) & (codes <= 57)) | (codes == 64))
-    last = cue // STRIDE
-    slots = np.unique(np.concatenate([last, np.maximum(last - 1, 0)]))
-    starts = slots * STRIDE
-    padded = np.concatenate([symbols(codes), np.zeros(2 * WINDOW, np.int64)])
-    return starts, padded[starts[:, None] + np.arange(WINDOW)]
-
-
-def reconcile(
-    starts: np.ndarray, tags: np.ndarray, margins: np.ndarray, length: int
-) -> list[tuple[int, int, str, float]]:
-    """Spans of a whole text from its windows' tags: (start, end, kind, margin), without overlaps."""
-    begin = (tags > 0) & (tags % 2 == 1)
-    rows, cols = np.nonzero(begin)
+    count = max(1, -(-(len(codes) - HALO) // STRIDE))
+    padded = np.zeros((count - 1) * STRIDE + WINDOW, np.int64)
+    padded[: len(codes)] = symbols(codes)[: len(padded)]
+    return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
+
+
+def spans_in(tags: np.ndarray, margins: np.ndarray, at: int) -> list[tuple[int, int, str, float]]:
+    """Spans of a decoded run that begins at ``at``: (start, end, kind, mean margin)."""
     found = []
-    for row, col in zip(rows.tolist(), cols.tolist()):
-        kind = int(tags[row, col])
-        end = col + 1
-        while end < WINDOW and tags[row, end] == kind + 1:
+    for start in np.flatnonzero(tags % 2 == 1).tolist():
+        kind, end = int(tags[start]), start + 1
+        while end < len(tags) and tags[end] == kind + 1:
             end += 1
-        start = int(starts[row])
-        cut = (end == WINDOW and start + WINDOW < length) or (col == 0 and start > 0)
-        if start + end <= length:
-            found.append((not cut, float(margins[row, col:end].mean()), start + col, start + end, KINDS[kind // 2]))
-    found.sort(key=lambda x: (not x[0], -x[1], x[2], x[3]))
-    taken: list[tuple[int, int, str, float]] = []
-    for whole, margin, start, end, kind in found:
-        if whole and all(end <= a or start >= b for a, b, _, _ in taken):
-            taken.append((start, end, kind, margin))
-    return sorted(taken)
+        found.append((at + start, at + end, KINDS[kind // 2], float(margins[start:end].mean())))
+    return found
 
 
 def plausible(text: str, kind: str) -> bool:
@@ -346,37 +396,45 @@ def plausible(text: str, kind: str) -> bool:
 def add_network(
     texts: list[str], base: list[list[tuple[int, int, str]]], net: SpanNet, least: float = LEAST_MARGIN
 ) -> list[list[tuple[int, int, str]]]:
-    """Base spans and the network's, in order, for texts that have a cue."""
-    owners: list[int] = []
+    """Base spans and the network's, in order."""
     spans = [list(b) for b in base]
-    starts, inputs = [], []
-
-    def flush() -> None:
-        if not starts:
-            return
-        tags, margins = zip(*(net.decode(x) for x in np.array_split(np.concatenate(inputs), -(-sum(map(len, starts)) // BATCH))))
-        tags, margins = np.concatenate(tags), np.concatenate(margins)
-        at = 0
-        for k, own in zip(owners, starts):
-            text = texts[k]
-            for a, b, kind, margin in reconcile(own, tags[at : at + len(own)], margins[at : at + len(own)], len(text)):
-                clear = all(b <= s or a >= e for s, e, _ in base[k])
-                if clear and margin >= least and plausible(text[a:b], kind):
-                    spans[k].append((a, b, kind))
-            spans[k].sort(key=lambda s: (s[0], KINDS.index(s[2])))
-            at += len(own)
-        owners.clear(), starts.clear(), inputs.clear()
+    runs: list[np.ndarray] = []
+    places: list[tuple[int, int]] = []
+
+    def flush(owners: list[int], windows: list[np.ndarray]) -> None:
+        """Emissions of whole texts, of which the runs are kept."""
+        firsts = np.cumsum([0, *map(len, windows)])
+        inputs = np.concatenate(windows)
+        first = np.zeros(len(inputs), dtype=bool)
+        first[firsts[:-1]] = True
+        parts = [net.emissions(inputs[k : k + BATCH], first[k : k + BATCH]) for k in range(0, len(inputs), BATCH)]
+        middle, begin = np.concatenate([m for m, _ in parts]), np.concatenate([b for _, b in parts])
+        for k, owner in enumerate(owners):
+            emit = np.concatenate([begin[k], middle[firsts[k] : firsts[k + 1]].reshape(-1, net.TAGS)])[: len(texts[owner])]
+            for start, end in net.runs(emit):
+                runs.append(emit[start:end].copy())
+                places.append((owner, start))
 
+    owners: list[int] = []
+    windows: list[np.ndarray] = []
     held = 0
     for k, text in enumerate(texts):
-        own, x = windows_of(text)
-        if len(own):
-            owners.append(k), starts.append(own), inputs.append(x)
-            held += len(own)
+        if not text:
+            continue
+        owners.append(k), windows.append(windows_of(text))
+        held += len(windows[-1])
         if held >= BATCH:
-            flush()
-            held = 0
-    flush()
+            flush(owners, windows)
+            owners, windows, held = [], [], 0
+    if owners:
+        flush(owners, windows)
+    for (k, at), (tags, margins) in zip(places, net.best(runs)):
+        for a, b, kind, margin in spans_in(tags, margins, at):
+            clear = all(b <= s or a >= e for s, e, _ in base[k])
+            if clear and margin >= least and plausible(texts[k][a:b], kind):
+                spans[k].append((a, b, kind))
+    for own in spans:
+        own.sort(key=lambda s: (s[0], KINDS.index(s[2])))
     return spans
 
 

@@ -125,6 +125,34 @@ def test_network_adds_spans():
         assert [text[a:b] for a, b, _ in spans] == want
 
 
+def test_long_spans_at_every_offset():
+    net = pii.trained()
+    before = "the other pieces of prose that stand before it are of no account "
+    for span in ("firstname.lastname @ department.example.org", "john.doe.longer.name @ mail.department.university.example.com"):
+        texts = [before[-40 - k :] + span + " and so on " * 9 for k in range(pii.STRIDE // 2 + 8)]
+        texts += ["x" * k + " " + before + span for k in range(pii.STRIDE)]
+        for text, spans in zip(texts, pii.all_spans(pa.array(texts), net)):
+            assert [text[a:b] for a, b, _ in spans] == [span], text
+
+
+def test_runs_hold_the_best_path():
+    """Decoding the runs alone gives the tags of one decoding of the whole text."""
+    net, rng = pii.trained(), np.random.default_rng(3)
+    trans = net.p["trans"] + net.barred
+    for n in [1, 2, 40, 700] * 10:
+        emit = (rng.standard_normal((n, net.TAGS)) * 2).astype(np.float32)
+        emit[:, 1::2] -= rng.choice([2, 6])
+        emit[:, 0] += rng.choice([0, 1])
+        whole = emit[:, None].astype(np.float64)
+        whole[0] += trans[0]
+        whole[-1] += trans[:, 0]
+        want = pii.viterbi(whole, trans.astype(np.float64))[0][:, 0]
+        got, runs = np.zeros(n, np.int64), net.runs(emit)
+        for (a, b), (tags, _) in zip(runs, net.best([emit[a:b] for a, b in runs])):
+            got[a:b] = tags
+        assert np.array_equal(got, want)
+
+
 def test_personal_query(spark, hard, empty, rows):
     found = {r["doc_id"]: r for r in pii.op2_pii(spark, SF).collect()}
     assert len(found) == len(rows)
