@@ -4,11 +4,11 @@ The network is trained in numpy on labelled spans: a seeded generator writes e-m
 telephone numbers in many spellings into prose of made-up words, among look-alikes (dates, prices, digests, versions,
 identifiers) that are labelled as nothing.  It thus needs no pass over the corpus, and is the same for every input.
 
-A span must hold a digit or an at sign, so only texts with one are decoded, in windows that overlap by half.  A text's
-position has its emissions from the window where it is most central; they are joined to those of the whole text, over
+All of every text is decoded, in windows that overlap by half.  A text's position has its emissions from the window where it is most central; they are joined to those of the whole text, over
 which the CRF is decoded once, so a span may be of any length and lie anywhere.  Where bounds show that the best path
-over the whole text has no span, the CRF's search is left out (``SpanNet.runs``).  Base spans always stay, and spans of
-the network that touch one are dropped.
+over the whole text has no span, the CRF's search is left out (``SpanNet.runs``).  Addresses with the at sign spelled out
+are also found by a pattern.  Base spans always stay, then those of the pattern; spans of the network that touch one are
+dropped.
 """
 
 from __future__ import annotations
@@ -35,6 +35,16 @@ IP = re.compile("(?<![0-9])([0-9]+)\\.([0-9]+)\\.([0-9]+)\\.([0-9]+)")
 CARD = re.compile("[0-9](?:[\\x20-]?[0-9])+")
 PHONE = re.compile("\\+[0-9][\\x20().0-9-]+[0-9]")
 DIGITS = re.compile("[0-9]")
+#: Marks of an address without an at sign: words of their own.
+BRACKETED_AT = re.compile("[\\[({<]\\x20?at\\x20?[\\])}>]\\x20?", re.IGNORECASE)
+PLAIN_AT = re.compile("\\x20at\\x20", re.IGNORECASE)
+_DOT = "(?:\\x20?[\\[({<]\\x20?dot\\x20?[\\])}>]\\x20?|\\x20dot\\x20)"
+_LABEL = "[A-Za-z0-9-]+"
+SPELLED_HOST = re.compile(f"{_LABEL}(?:(?:\\.|{_DOT}){_LABEL})*{_DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9-])", re.IGNORECASE)
+DOTTED_HOST = re.compile(f"{_LABEL}(?:\\.{_LABEL})+")
+DOT_BEFORE = re.compile(f"[A-Za-z0-9._%+-]{_DOT}$", re.IGNORECASE)
+SPELLED_AT = re.compile("(?<![^\\W_])at(?![^\\W_])", re.IGNORECASE)
+SPELLED_DOT = re.compile("\\.|(?<![^\\W_])dot(?![^\\W_])", re.IGNORECASE)
 
 WINDOW, STRIDE = 64, 32
 #: Positions at either side of a window that are more central in its neighbour.
@@ -90,6 +100,48 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return spans
 
 
+def spelled_spans(text: str) -> list[tuple[int, int, str]]:
+    """Addresses whose at sign is spelled out: ``x [at] y.z``, ``x (at) y (dot) z``, ``x at y dot z``; without overlaps.
+
+    A plain "at" needs a spelled dot, as prose may stand before a host's name.
+    """
+    spans: list[tuple[int, int, str]] = []
+    done = 0
+    marks = [(m.start(), m.end(), False) for m in PLAIN_AT.finditer(text)]
+    marks += [(m.start(), m.end(), True) for m in BRACKETED_AT.finditer(text)]
+    for left, right, bracketed in sorted(marks):
+        host = SPELLED_HOST.match(text, right) or (DOTTED_HOST.match(text, right) if bracketed else None)
+        if not host or left < done:
+            continue
+        end = left - (bracketed and left > done and text[left - 1] == " ")
+        start = _local_start(text, end, done)
+        # Further parts of the name before a spelled dot.
+        while start < end and (dot := DOT_BEFORE.search(text[max(done, start - 12) : start])):
+            before = start - len(dot[0]) + 1
+            start = _local_start(text, before, done)
+        if start < end:
+            spans.append((start, host.end(), "email"))
+            done = host.end()
+    return spans
+
+
+def _local_start(text: str, end: int, least: int) -> int:
+    """Where the run of name characters before ``end`` begins."""
+    start = end
+    while start > least and text[start - 1] in LOCAL:
+        start -= 1
+    return start
+
+
+def _name_start(text: str, start: int, end: int) -> int:
+    """Where an address that the network found begins: at the run of name characters before its at sign."""
+    at = text.find("@", start, end)
+    while at > start and text[at - 1] in " ([{<":
+        at -= 1
+    name = _local_start(text, at, start)
+    return name if start <= name < at else start
+
+
 @dataclass(frozen=True)
 class Training:
     """Bounds of the training: labelled windows, steps, windows in a step, and sizes of the network."""
@@ -141,6 +193,8 @@ def _ip(rng: random.Random) -> str:
 
 
 def _email(rng: random.Random) -> str:
+    if rng.random() < 0.1:
+        return _spelled(rng)
     name = re.sub("[^a-z]", "", _word(rng)) or "ab"
     host, end = re.sub("[^a-z]", "", _word(rng)) or "mail", rng.choice(["com", "org", "net", "de", "example.com"])
     name += rng.choice(["", "", f".{_digits(rng, 2)}", _digits(rng, 2), "_x"])
@@ -150,6 +204,15 @@ def _email(rng: random.Random) -> str:
     )
 
 
+def _spelled(rng: random.Random) -> str:
+    """An address without digits or an at sign, its marks spelled out."""
+    plain = lambda: re.sub("[^a-z]", "", _word(rng)) or "ab"
+    at, dot = rng.choice([(" at ", " dot ")] * 3 + [(" [at] ", " [dot] ")] * 2 + [("[at]", "[dot]"), (" (at) ", " (dot) "), ("(at)", "(dot)")])
+    name = plain() + rng.choice(["", "", f".{plain()}", f"_{plain()}"])
+    host = dot.join(plain() for _ in range(rng.choice([1, 1, 1, 2])))
+    return f"{name}{at}{host}{dot}{rng.choice(['com', 'org', 'net', 'de', 'edu'])}"
+
+
 def _other(rng: random.Random) -> str:
     """Look-alikes that are no personal data."""
     d = lambda n: _digits(rng, n)
@@ -158,6 +221,7 @@ def _other(rng: random.Random) -> str:
         + ["".join(rng.choices("0123456789abcdef", k=rng.choice([8, 24, 32, 40]))), f"v{d(1)}.{d(2)}.{d(1)}", f"#{d(5)}"]
         + [f'token = "{"".join(rng.choices("0123456789abcdef", k=32))}"', f"{d(3)}%", f"@{_word(rng)}", f"${d(4)}", d(6)]
         + [f"{d(2)}/{d(2)}/20{d(2)}", f"ISBN 978-{d(1)}-{d(4)}", f"[{d(2)}]", f"{_word(rng)}{d(2)}", f"{d(3)}-{d(2)}"]
+        + [f"{_word(rng)} at {_word(rng)}", f"at {_word(rng)}.", f"{_word(rng)} dot {_word(rng)}", f"{_word(rng)}at{_word(rng)}"]
         + [d(20), f"{d(2)} {d(2)} {d(2)}", f"AKIA{''.join(rng.choices('ABCDEFGH0123456789', k=16))}", f"{d(7)}"]
     )
 
@@ -346,20 +410,6 @@ def trained(training: Training = Training()) -> SpanNet:
     return SpanNet(training)
 
 
-def cues(texts: pa.Array) -> np.ndarray:
-    """Texts with a digit or an at sign."""
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    data = texts.buffers()[2]
-    if data is None:
-        return np.zeros(len(texts), dtype=bool)
-    table = np.zeros(256, dtype=bool)
-    table[list(b"0123456789@")] = True
-    places = np.flatnonzero(table[np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]]) + offsets[0]
-    found = np.zeros(len(texts), dtype=bool)
-    found[np.searchsorted(offsets, places, side="right") - 1] = True
-    return found
-
-
 def windows_of(text: str) -> np.ndarray:
     """Inputs of all windows of a text; the middles, with the first window's beginning, cover it."""
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
@@ -371,7 +421,9 @@ def windows_of(text: str) -> np.ndarray:
 
 def spans_in(tags: np.ndarray, margins: np.ndarray, at: int) -> list[tuple[int, int, str, float]]:
     """Spans of a decoded run that begins at ``at``: (start, end, kind, mean margin)."""
-    found = []
+    found: list[tuple[int, int, str, float]] = []
+    if not tags.any():
+        return found
     for start in np.flatnonzero(tags % 2 == 1).tolist():
         kind, end = int(tags[start]), start + 1
         while end < len(tags) and tags[end] == kind + 1:
@@ -384,7 +436,8 @@ def plausible(text: str, kind: str) -> bool:
     """What a kind's span must hold, so that a stray tag is no finding."""
     digits = len(DIGITS.findall(text))
     if kind == "email":
-        return len(text) >= 6 and ("@" in text or "at" in text) and text[-1].isalnum() and text[0].isalnum()
+        marked = "@" in text or (SPELLED_AT.search(text) and SPELLED_DOT.search(text))
+        return len(text) >= 6 and bool(marked) and text[-1].isalnum() and text[0].isalnum()
     if kind == "ip":
         return 4 <= digits <= 12 and len(re.findall("[0-9]+", text)) == 4
     if kind == "card":
@@ -396,8 +449,12 @@ def plausible(text: str, kind: str) -> bool:
 def add_network(
     texts: list[str], base: list[list[tuple[int, int, str]]], net: SpanNet, least: float = LEAST_MARGIN
 ) -> list[list[tuple[int, int, str]]]:
-    """Base spans and the network's, in order."""
-    spans = [list(b) for b in base]
+    """Base spans, spelled-out addresses and the network's spans clear of these, in order."""
+    spans = []
+    for text, own in zip(texts, base):
+        spelled = spelled_spans(text)
+        spans.append(own + [x for x in spelled if all(x[1] <= s or x[0] >= e for s, e, _ in own)])
+    fixed = [list(own) for own in spans]
     runs: list[np.ndarray] = []
     places: list[tuple[int, int]] = []
 
@@ -430,7 +487,8 @@ def add_network(
         flush(owners, windows)
     for (k, at), (tags, margins) in zip(places, net.best(runs)):
         for a, b, kind, margin in spans_in(tags, margins, at):
-            clear = all(b <= s or a >= e for s, e, _ in base[k])
+            a = _name_start(texts[k], a, b) if kind == "email" else a
+            clear = all(b <= s or a >= e for s, e, _ in fixed[k])
             if clear and margin >= least and plausible(texts[k][a:b], kind):
                 spans[k].append((a, b, kind))
     for own in spans:
@@ -440,12 +498,8 @@ def add_network(
 
 def all_spans(texts: pa.Array, net: SpanNet) -> list[list[tuple[int, int, str]]]:
     """Spans of every text of an array without nulls."""
-    found: list[list[tuple[int, int, str]]] = [[] for _ in range(len(texts))]
-    which = np.flatnonzero(cues(texts))
-    own = texts.take(pa.array(which)).to_pylist()
-    for k, spans in zip(which.tolist(), add_network(own, [base_spans(t) for t in own], net)):
-        found[k] = spans
-    return found
+    own = texts.to_pylist()
+    return add_network(own, [base_spans(t) for t in own], net)
 
 
 def find_personal(

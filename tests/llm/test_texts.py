@@ -135,6 +135,27 @@ def test_long_spans_at_every_offset():
             assert [text[a:b] for a, b, _ in spans] == [span], text
 
 
+def test_spelled_addresses_without_digits():
+    """Texts without a digit or an at sign are read too."""
+    net = pii.trained()
+    spans = ["jane.doe [at] example [dot] com", "john at example dot org", "mary (at) company.net", "a dot b at c dot d dot edu"]
+    spans += ["bob[at]home[dot]org", "J_R AT EXAMPLE DOT COM"]
+    before = "the other pieces of prose that stand before it are of no account; "
+    for span in spans:
+        texts = ["é" * k + before + span + ", and so on" for k in range(pii.STRIDE)]
+        for text, found in zip(texts, pii.all_spans(pa.array(texts), net)):
+            assert [(text[a:b], kind) for a, b, kind in found] == [(span, "email")], text
+    calm = ["look at the data at hand. Then go", "meet at noon at www.example.org", "at dot", "", " at ", "[at] x [dot] y", "that dot com"]
+    assert pii.all_spans(pa.array(calm), net) == [[] for _ in calm]
+    # The network alone finds them as well where the marks are in brackets.
+    text = before + spans[0] + ", and so on"
+    x = pii.windows_of(text)
+    middle, begin = net.emissions(x, np.arange(len(x)) == 0)
+    emit = np.concatenate([begin[0], middle.reshape(-1, net.TAGS)])[: len(text)]
+    own = [s for (a, _), (t, m) in zip(net.runs(emit), net.best([emit[a:b] for a, b in net.runs(emit)])) for s in pii.spans_in(t, m, a)]
+    assert spans[0] in [text[a:b] for a, b, _, _ in own]
+
+
 def test_runs_hold_the_best_path():
     """Decoding the runs alone gives the tags of one decoding of the whole text."""
     net, rng = pii.trained(), np.random.default_rng(3)
