@@ -310,6 +310,16 @@ ENTRIES: dict[str, Entry] = {
         + " FROM events WHERE user_id < 100 GROUP BY user_id",
         ["user_id"],
     ),
+    "pivot_jagged_all": Entry(
+        ["in[events]", "user:user_id", "...:pivot[event_type,event_id,true]"],
+        "SELECT user_id AS user, "
+        + ", ".join(
+            f"coalesce(CAST(max(CASE WHEN event_type = '{t}' THEN event_id END) AS VARCHAR), '') AS {t}"
+            for t in ("click", "error", "purchase", "signup", "view")
+        )
+        + " FROM events GROUP BY user_id",
+        ["user_id"],
+    ),
     "pivot_spread": Entry(
         ["in[nation]", "...:pivot['r'&n_regionkey,n_name]"],
         "SELECT " + ", ".join(f"arg_max(n_name, n_nationkey) FILTER (n_regionkey = {k}) AS r{k}" for k in range(5)) + " FROM nation",
