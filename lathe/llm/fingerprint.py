@@ -104,18 +104,30 @@ class PrefixHash:
     def sketch(self) -> np.ndarray:
         """The least ``SKETCH`` mixed hashes of all spans (of the whole text, if it is shorter than one).
 
-        A span that repeats counts as often as it does in its block of ``BLOCK`` code points.
+        A span that repeats counts as often as it does in the whole text.
         """
         if self.n < SPAN:
             return self._mixed(np.array([self.span(0, self.n)], np.uint64)) if self.n else np.zeros(0, np.uint32)
         least = np.zeros(0, np.uint32)
+        #: Spans of the blocks before, and how often each occurred.
+        known, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for at in range(0, self.n - SPAN + 1, BLOCK):
             stop = min(at + BLOCK, self.n - SPAN + 1)
             ends = self.prefix[at + SPAN : stop + SPAN].astype(np.uint64)
             hashes = _mod((ends + PRIME - self.prefix[at:stop]) * _INVERSE[: stop - at])
             if at:
                 hashes = _mod(hashes * np.uint64(pow(BASE, -at, int(PRIME))))
-            mixed = self._mixed(self._numbered(hashes))
+            numbered = self._numbered(hashes)
+            if self.n - SPAN + 1 > BLOCK:
+                own = numbered & np.uint64(0xFFFFFFFF)
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    before = np.where(known[place] == own, times[place], 0)
+                    numbered = numbered + (before.astype(np.uint64) << np.uint64(32))
+                new, counts = np.unique(own, return_counts=True)
+                known, which = np.unique(np.concatenate([known, new]), return_inverse=True)
+                times = np.bincount(which, np.concatenate([times, counts])).astype(np.int64)
+            mixed = self._mixed(numbered)
             some = np.unique(np.partition(mixed, 4 * SKETCH)[: 4 * SKETCH]) if len(mixed) > 4 * SKETCH else None
             if some is None or len(some) <= SKETCH:
                 some = np.unique(mixed)

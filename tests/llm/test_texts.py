@@ -50,6 +50,15 @@ def test_long_texts_are_hashed_in_blocks(monkeypatch):
     assert np.array_equal(whole.prefix, parts.prefix) and whole.whole == parts.whole
 
 
+def test_repeats_count_over_the_whole_text(monkeypatch):
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choices("etaoins", k=4)) for _ in range(60)) * 40
+    whole, doubled = fingerprint.fingerprint(text), fingerprint.fingerprint(text * 2)
+    assert 0.3 < fingerprint.likeness(whole, doubled) < 0.7
+    monkeypatch.setattr(fingerprint, "BLOCK", 700)
+    assert (fingerprint.fingerprint(text), fingerprint.fingerprint(text * 2)) == (whole, doubled)
+
+
 def test_likeness():
     rng = random.Random(2)
     make = lambda n: " ".join("".join(rng.choices("etaoins", k=5)) for _ in range(n))
