@@ -203,6 +203,9 @@ def classify(
 
 
 def op5_site_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posterior quality of every document."""
+    """Posterior quality of every document.
+
+    ``documents`` has no path: its language within its source stands in for one, so ``path_rate`` is a language's rate.
+    """
     docs = read_table(spark, sf_dir, "documents")
     return classify(docs, train(docs, read_table(spark, sf_dir, "labels")))
