@@ -427,7 +427,11 @@ def builder_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of raw web pages, which are not well-formed XML; rows only."""
+    """First title of each raw web page; rows only.
+
+    Pages are not well-formed XML, so a regular expression cuts out the first title element, and the matcher reads that
+    alone: this is an extraction by regular expression, not by the matcher on whole pages.
+    """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     docs = Documents(pages.selectExpr("page_id AS doc", "regexp_extract(html, '(?is)<title>.*?</title>', 0) AS text"), "xml")
     return query(spark, ["title"], docs)
