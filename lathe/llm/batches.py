@@ -79,7 +79,7 @@ def encode_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """As ``split_words``, with the words as codes into a list of different words."""
     offsets, flat = split_words(texts)
     coded = flat.dictionary_encode()
-    return offsets, np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+    return offsets, np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
 def ragged_take(starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

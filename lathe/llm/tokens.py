@@ -1,7 +1,7 @@
 """Token ids of whole texts with a public word-level BPE vocabulary, through the tokenizers library.
 
 The vocabulary's normaliser and splitter never join text across ASCII white space, so a text's ids are the ids of its
-white-space separated units, and each different unit of a batch is encoded once.  Most units are letters followed by
+white-space separated units, and each different unit is encoded once for as long as a worker's memo holds it.  Most units are letters followed by
 ASCII punctuation; their two parts are single pre-tokens, which need no normalising and are encoded many to a call, each
 ending in exactly one end-of-word token.  All other units go through the unchanged tokenizer.
 """
@@ -12,6 +12,7 @@ import json
 import os
 import re
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from lathe.llm.batches import encode_words, ragged_take
 PLAIN_UNIT = re.compile("([a-zß-öø-ÿ]*)([!-&(-/:-@\\[-`{-~]*)")
 END_OF_WORD = "</w>"
 BLOCK = 512
+#: Units, and characters and bytes of ids, that a worker's memo may hold before it is emptied.
+MEMO_UNITS, MEMO_BYTES = 1 << 19, 64 << 20
 
 
 def default_vocabulary() -> str:
@@ -121,13 +124,57 @@ def encode_parts(plain: list[str], odd: list[str], path: str) -> tuple[dict[str,
     return index, np.cumsum(lengths) - lengths, lengths, np.asarray(ids, dtype=np.uint32)
 
 
+class UnitMemo:
+    """Ids of units already encoded by this worker, kept from batch to batch.
+
+    Beyond ``MEMO_UNITS`` units or ``MEMO_BYTES`` of them it is emptied before the next batch, so its memory is bounded by
+    these and one batch's units.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.starts = np.zeros(0, np.int64)
+        self.lengths = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+        self.size = 0
+
+    def places(self, units: list[str]) -> np.ndarray:
+        """The number of each of the different ``units``; those not yet known are encoded."""
+        if len(self.index) > MEMO_UNITS or self.size > MEMO_BYTES:
+            self.clear()
+        found = np.fromiter(map(self.index.get, units, repeat(-1)), np.int64, count=len(units))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            found[missing] = np.arange(len(self.index), len(self.index) + len(missing))
+            self._add([units[k] for k in missing.tolist()])
+        return found
+
+    def _add(self, units: list[str]) -> None:
+        parts, odd = parts_of_units(units)
+        strange = set(odd)
+        plain = list(dict.fromkeys(p for unit in parts for p in unit if p not in strange))
+        index, starts, lengths, ids = encode_parts(plain, odd, self.path)
+        positions, per_unit = assemble(parts, index, starts, lengths, np.arange(len(units)))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(per_unit) - per_unit])
+        self.lengths = np.concatenate([self.lengths, per_unit])
+        self.ids = np.concatenate([self.ids, ids[positions]])
+        self.index.update(zip(units, range(len(self.index), len(self.index) + len(units))))
+        self.size += sum(map(len, units)) + 4 * len(positions)
+
+
+@lru_cache(maxsize=1)
+def _memo(path: str) -> UnitMemo:
+    return UnitMemo(path)
+
+
 def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of every whole text, special tokens not added: (offsets of length n + 1, ids as uint32)."""
     offsets, codes, units = encode_words(lower_ascii(texts))
-    parts, odd = parts_of_units(units)
-    strange = set(odd)
-    plain = list(dict.fromkeys(p for unit in parts for p in unit if p not in strange))
-    index, starts, lengths, ids = encode_parts(plain, odd, path)
-    positions, per_unit = assemble(parts, index, starts, lengths, codes)
-    before = np.concatenate(([0], np.cumsum(per_unit[codes] if len(codes) else np.zeros(0, np.int64))))
-    return before[offsets], ids[positions]
+    memo = _memo(path)
+    which = memo.places(units)[codes]
+    positions, ends = ragged_take(memo.starts, memo.lengths, which)
+    return ends[offsets], memo.ids[positions]
