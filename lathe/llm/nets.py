@@ -36,8 +36,19 @@ class Adam:
             self.params[k] -= F32(rate) * self.mean[k] / (np.sqrt(self.square[k]) + F32(1e-8))
 
 
+#: Slope of the LSTM's gates, which are straight lines cut off at 0 and 1.
+GATE = F32(0.25)
+
+
+def softsign(x: np.ndarray) -> np.ndarray:
+    return x / (1 + np.abs(x))
+
+
 def lstm_forward(z: np.ndarray, u: np.ndarray, keep: bool = False):
-    """States of an LSTM whose inputs are already projected: z is (steps, batch, 4 h) in the order i, f, o, g."""
+    """States of an LSTM whose inputs are already projected: z is (steps, batch, 4 h) in the order i, f, o, g.
+
+    Gates are hard sigmoids, and softsign stands where tanh would: both cost a few passes over memory.
+    """
     steps, batch, width = z.shape
     h = width // 4
     state, cell = np.zeros((batch, h), F32), np.zeros((batch, h), F32)
@@ -45,11 +56,11 @@ def lstm_forward(z: np.ndarray, u: np.ndarray, keep: bool = False):
     kept = []
     for t in range(steps):
         a = z[t] + state @ u
-        gates = sigmoid(a[:, : 3 * h])
-        fresh = np.tanh(a[:, 3 * h :])
+        gates = np.clip(GATE * a[:, : 3 * h] + F32(0.5), 0, 1)
+        fresh = softsign(a[:, 3 * h :])
         before = cell
         cell = gates[:, h : 2 * h] * cell + gates[:, :h] * fresh
-        squashed = np.tanh(cell)
+        squashed = softsign(cell)
         if keep:
             kept.append((state, before, gates, fresh, squashed))
         state = gates[:, 2 * h :] * squashed
@@ -57,26 +68,48 @@ def lstm_forward(z: np.ndarray, u: np.ndarray, keep: bool = False):
     return (states, kept) if keep else states
 
 
-def lstm_states(z: np.ndarray, x: np.ndarray, u: np.ndarray, at=None):
-    """States of an LSTM over symbols x (steps, batch), without gradients, and the last state and cell.
+def stacked(w: np.ndarray, u: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """An LSTM's weights as one matrix over (state, input, 1), for ``lstm_scores``; the gates' line is part of it."""
+    h = u.shape[0]
+    scale = np.repeat(np.array([GATE, 1], F32), [3 * h, h])
+    whole = np.concatenate([u, w, b[None]]) * scale
+    whole[-1, : 3 * h] += F32(0.5)
+    return np.ascontiguousarray(whole.T)
 
-    ``z`` has the projected input of each symbol; ``at`` is the state and cell to begin with.
+
+def lstm_scores(x: np.ndarray, active: list[int], embed: np.ndarray, weights: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """An LSTM's states times ``out`` at every step of sequences of symbols x (steps, sequences), without gradients.
+
+    Sequences are sorted from the longest down; at step t the first ``active[t]`` of them go on.  Features come first in
+    all work arrays, so each gate is one block of memory.
     """
-    steps, batch = x.shape
-    h = u.shape[0]
-    # sigmoid(a) = (1 + tanh(a / 2)) / 2, so one tanh serves all gates.
-    half = np.repeat(np.array([0.5, 1], F32), [3 * h, h])
-    z, u = z * half, u * half
-    state, cell = at if at else (np.zeros((batch, h), F32), np.zeros((batch, h), F32))
-    states = np.empty((steps, batch, h), F32)
-    for t in range(steps):
-        a = state @ u
-        a += z[x[t]]
-        np.tanh(a, out=a)
-        gates = a[:, : 3 * h] * F32(0.5) + F32(0.5)
-        cell = gates[:, h : 2 * h] * cell + gates[:, :h] * a[:, 3 * h :]
-        state = np.multiply(gates[:, 2 * h :], np.tanh(cell), out=states[t])
-    return states, (state, cell)
+    steps, count = x.shape
+    h, e = out.shape[0], embed.shape[1]
+    scores = np.empty((steps, count, out.shape[1]), F32)
+    into = np.zeros((h + e + 1, count), F32)
+    into[-1] = 1
+    cell, a, fresh = np.zeros((h, count), F32), np.empty((4 * h, count), F32), np.empty((h, count), F32)
+    before = count
+    for t, k in enumerate(active):
+        if k < before:
+            into, cell, a, fresh = (np.ascontiguousarray(m[:, :k]) for m in (into, cell, a, fresh))
+            before = k
+        into[h : h + e] = embed[x[t, :k]].T
+        np.matmul(weights, into, out=a)
+        gates, new = a[: 3 * h], a[3 * h :]
+        np.clip(gates, 0, 1, out=gates)
+        np.abs(new, out=fresh)
+        fresh += 1
+        new /= fresh
+        new *= gates[:h]
+        cell *= gates[h : 2 * h]
+        cell += new
+        np.abs(cell, out=fresh)
+        fresh += 1
+        np.divide(cell, fresh, out=fresh)
+        state = np.multiply(gates[2 * h :], fresh, out=into[:h])
+        np.matmul(state.T, out, out=scores[t, :k])
+    return scores
 
 
 def lstm_backward(d_states: np.ndarray, u: np.ndarray, kept: list) -> tuple[np.ndarray, np.ndarray]:
@@ -88,13 +121,15 @@ def lstm_backward(d_states: np.ndarray, u: np.ndarray, kept: list) -> tuple[np.n
     for t in range(steps - 1, -1, -1):
         state, before, gates, fresh, squashed = kept[t]
         i, f, o = gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :]
+        slope = GATE * ((gates > 0) & (gates < 1))
         d_out = d_states[t] + d_state
-        d_cell = d_cell + d_out * o * (1 - squashed * squashed)
+        # softsign's derivative is (1 - |its value|) squared.
+        d_cell = d_cell + d_out * o * (1 - np.abs(squashed)) ** 2
         a = dz[t]
-        a[:, :h] = d_cell * fresh * i * (1 - i)
-        a[:, h : 2 * h] = d_cell * before * f * (1 - f)
-        a[:, 2 * h : 3 * h] = d_out * squashed * o * (1 - o)
-        a[:, 3 * h :] = d_cell * i * (1 - fresh * fresh)
+        a[:, :h] = d_cell * fresh * slope[:, :h]
+        a[:, h : 2 * h] = d_cell * before * slope[:, h : 2 * h]
+        a[:, 2 * h : 3 * h] = d_out * squashed * slope[:, 2 * h :]
+        a[:, 3 * h :] = d_cell * i * (1 - np.abs(fresh)) ** 2
         du += state.T @ a
         d_state = a @ u.T
         d_cell = d_cell * f

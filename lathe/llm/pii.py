@@ -4,8 +4,9 @@ The network is trained in numpy on labelled spans: a seeded generator writes e-m
 telephone numbers in many spellings into prose of made-up words, among look-alikes (dates, prices, digests, versions,
 identifiers) that are labelled as nothing.  It thus needs no pass over the corpus, and is the same for every input.
 
-All of every text is decoded, in windows that overlap by half.  A text's position has its emissions from the window where it is most central; they are joined to those of the whole text, over
-which the CRF is decoded once, so a span may be of any length and lie anywhere.  Where bounds show that the best path
+All of every text is decoded, in overlapping windows.  A text's position has its emissions from the window where it is
+most central; they are joined to those of the whole text, over which the CRF is decoded once, so a span may be of any
+length and lie anywhere.  Where bounds show that the best path
 over the whole text has no span, the CRF's search is left out (``SpanNet.runs``).  Addresses with the at sign spelled out
 are also found by a pattern.  Base spans always stay, then those of the pattern; spans of the network that touch one are
 dropped.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -24,8 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.llm.batches import id_and_text, read_table, rebatch, tune
-from lathe.llm.nets import F32, Adam, best_tags, crf_gradient, glorot, lstm_backward, lstm_forward, lstm_states, viterbi
+from lathe.llm.batches import id_and_text, ragged_take, read_table, rebatch, tune
+from lathe.llm.nets import F32, Adam, best_tags, crf_gradient, glorot, lstm_backward, lstm_forward, lstm_scores, stacked, viterbi
 from lathe.llm.secrets import span_digest
 
 KINDS = ("email", "ip", "card", "phone")
@@ -46,11 +48,13 @@ DOT_BEFORE = re.compile(f"[A-Za-z0-9._%+-]{_DOT}$", re.IGNORECASE)
 SPELLED_AT = re.compile("(?<![^\\W_])at(?![^\\W_])", re.IGNORECASE)
 SPELLED_DOT = re.compile("\\.|(?<![^\\W_])dot(?![^\\W_])", re.IGNORECASE)
 
-WINDOW, STRIDE = 64, 32
-#: Positions at either side of a window that are more central in its neighbour.
-HALO = (WINDOW - STRIDE) // 2
+#: Characters of a training window.
+SAMPLE = 64
+#: Windows take STRIDE positions of a text each, and HALO further ones at either side, which are more central in their
+#: neighbours.
+STRIDE, HALO = 224, 16
 #: Windows decoded together.
-BATCH = 2048
+BATCH = 768
 SYMBOLS = 132
 #: A span's least mean margin (natural log of odds against the best other tag) to be taken from the network.
 LEAST_MARGIN = 4.0
@@ -147,7 +151,7 @@ class Training:
     """Bounds of the training: labelled windows, steps, windows in a step, and sizes of the network."""
 
     windows: int = 1600
-    steps: int = 260
+    steps: int = 400
     batch: int = 64
     embed: int = 12
     hidden: int = 20
@@ -158,13 +162,19 @@ class Training:
 def symbols(codes: np.ndarray) -> np.ndarray:
     """Code points as network inputs: ASCII as it is, then Latin letters, other characters; 0 is the padding."""
     return np.where(codes < 128, codes, np.where(codes < 0x250, 128, np.where(codes == 0xFFFFFFFF, 131, 129))).astype(
-        np.int64
+        np.uint8
     )
 
 
 def _word(rng: random.Random) -> str:
-    syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve é ü ñ ón sch"
-    return "".join(rng.choices(syllables.split(), k=rng.randint(1, 4)))
+    if rng.random() < 0.3:
+        syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve é ü ñ ón sch"
+        return "".join(rng.choices(syllables.split(), k=rng.randint(1, 4)))
+    # Words of any language: syllables of a few consonants around vowels.
+    ahead = "b c ch d f g gr h j k l ll m n p pr qu r s sh sp st t th tr v w y z ß ñ ç".split() + [""] * 4
+    heart = "a e i o u a e i o u ai au ea ei io ou ie ä é ê ó ö ü".split()
+    behind = "n ng r s t l m nd nt ck ch rt st x".split() + [""] * 14
+    return "".join(rng.choice(ahead) + rng.choice(heart) + rng.choice(behind) for _ in range(rng.randint(1, 5)))
 
 
 def _digits(rng: random.Random, n: int) -> str:
@@ -227,32 +237,33 @@ def _other(rng: random.Random) -> str:
 
 
 def labelled_windows(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Generated windows: inputs and tags, both (count, WINDOW).  Tag 0 is none, then first and further of each kind."""
+    """Generated windows: inputs and tags, both (count, SAMPLE).  Tag 0 is none, then first and further of each kind."""
     rng = random.Random(seed)
     makers = {"email": _email, "ip": _ip, "card": _card, "phone": _phone}
-    inputs, tags = np.zeros((count, WINDOW), np.int64), np.zeros((count, WINDOW), np.int64)
+    inputs, tags = np.zeros((count, SAMPLE), np.int64), np.zeros((count, SAMPLE), np.int64)
     for row in range(count):
         text, tag = "", []
-        while len(text) < 2 * WINDOW:
+        while len(text) < 2 * SAMPLE:
             choice = rng.random()
-            if choice < 0.25:
+            if choice < 0.16:
                 kind = rng.choice(KINDS)
                 piece = makers[kind](rng)
                 k = 1 + 2 * KINDS.index(kind)
                 own = [k] + [k + 1] * (len(piece) - 1)
             else:
-                piece = _other(rng) if choice < 0.45 else _word(rng)
-                piece = piece.upper() if rng.random() < 0.1 else piece
+                piece = _other(rng) if choice < 0.36 else _word(rng)
+                case = rng.random()
+                piece = piece.upper() if case < 0.1 else piece.capitalize() if case < 0.25 else piece
                 own = [0] * len(piece)
-            mark = rng.choice([" ", " ", " ", " ", ", ", ". ", "\n", "*** ", "!! ", "&&& ", '" ', "; ", ": ", "### "])
+            mark = rng.choice([" ", " ", " ", " ", ", ", ". ", "\n", "*** ", "!! ", " | ", "&&& ", '" ', "; ", ": ", "### "])
             text += piece + mark
             tag += own + [0] * len(mark)
-        start = rng.randint(0, WINDOW)
-        codes = np.frombuffer(text[start : start + WINDOW].encode("utf-32-le"), "<u4")
+        start = rng.randint(0, SAMPLE)
+        codes = np.frombuffer(text[start : start + SAMPLE].encode("utf-32-le"), "<u4")
         inputs[row, : len(codes)] = symbols(codes)
-        tags[row, : len(codes)] = tag[start : start + WINDOW][: len(codes)]
+        tags[row, : len(codes)] = tag[start : start + SAMPLE][: len(codes)]
         if rng.random() < 0.15:
-            cut = rng.randint(WINDOW // 3, WINDOW)
+            cut = rng.randint(SAMPLE // 3, SAMPLE)
             inputs[row, cut:], tags[row, cut:] = 0, 0
     return inputs, tags
 
@@ -328,57 +339,94 @@ class SpanNet:
             )
 
     def _tables(self) -> None:
-        """Each symbol's projected input, so decoding begins with a look-up."""
-        p = self.p
-        self.forward_in = p["embed"] @ p["wf"] + p["bf"]
-        self.backward_in = p["embed"] @ p["wb"] + p["bb"]
-
-    def decode(self, inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tags and margins of windows, both (windows, WINDOW)."""
-        p, x = self.p, inputs.T
-        ahead = lstm_forward(self.forward_in[x], p["uf"])
-        behind = lstm_forward(self.backward_in[x[::-1]], p["ub"])[::-1]
-        emit = np.concatenate([ahead, behind], axis=2) @ p["out"] + p["bias"]
-        tags, margin = viterbi(emit, p["trans"] + self.barred)
-        return tags.T, margin.T
-
-    def emissions(self, inputs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Emissions of the middle STRIDE positions of windows, and of the HALO positions before these of ``first``."""
-        p, x = self.p, inputs.T
-        ahead, _ = lstm_states(self.forward_in, x[: WINDOW - HALO], p["uf"])
-        behind, (state, cell) = lstm_states(self.backward_in, x[: HALO - 1 : -1], p["ub"])
-        emit = lambda a, b: np.concatenate([a, b], axis=2).swapaxes(0, 1) @ p["out"] + p["bias"]
-        middle = emit(ahead[HALO:], behind[HALO:][::-1])
-        behind, _ = lstm_states(self.backward_in, x[HALO - 1 :: -1, first], p["ub"], (state[first], cell[first]))
-        return middle, emit(ahead[:HALO, first], behind[::-1])
-
-    def runs(self, emit: np.ndarray) -> list[tuple[int, int]]:
-        """Parts of a whole text outside which the best path has no spans: (start, end).
-
-        A span is on the best path only if it gains over none at its positions.  Its emissions and inner transitions are
-        added up from sums over the text, and the transitions at its ends taken at their best.
+        """Weights as decoding takes them."""
+        p, h = self.p, self.p["uf"].shape[0]
+        self.ahead = stacked(p["wf"], p["uf"], p["bf"]), np.ascontiguousarray(p["out"][:h])
+        self.behind = stacked(p["wb"], p["ub"], p["bb"]), np.ascontiguousarray(p["out"][h:])
+
+    def emissions(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Emissions (positions, TAGS) of whole texts one after another, given as symbols.
+
+        Each position has them from the window where it is most central.
+        """
+        sizes = np.array([len(t) for t in texts], np.int64)
+        flat = np.concatenate(texts)
+        base = np.cumsum(sizes) - sizes
+        counts = -(-sizes // STRIDE)
+        owner = np.repeat(np.arange(len(texts)), counts)
+        first = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * STRIDE
+        last = np.minimum(first + STRIDE, sizes[owner])
+        start, stop = np.maximum(first - HALO, 0), np.minimum(last + HALO, sizes[owner])
+        emit = np.empty((len(flat), self.TAGS), F32)
+        order = np.argsort(start - stop, kind="stable")
+        for k in range(0, len(order), BATCH):
+            part = order[k : k + BATCH]
+            n, size, at = len(part), (stop - start)[part], (base[owner] + start)[part]
+            step = np.arange(size[0])[:, None]
+            active = np.searchsorted(-size, -step[:, 0], side="left").tolist()
+            x = flat[np.minimum(at + step, len(flat) - 1)]
+            ahead = lstm_scores(x, active, self.p["embed"], *self.ahead).reshape(-1, self.TAGS)
+            x = flat[np.maximum(at + size - 1 - step, 0)]
+            behind = lstm_scores(x, active, self.p["embed"], *self.behind).reshape(-1, self.TAGS)
+            places, offsets = ragged_take((first - start)[part], (last - first)[part], np.arange(n))
+            spread = lambda values: np.repeat(values, np.diff(offsets))  # noqa: B023, E731
+            own = ahead.take(places * n + spread(np.arange(n)), axis=0)
+            own += behind.take(spread((size - 1) * n + np.arange(n)) - places * n, axis=0)
+            emit[spread(at) + places] = own
+        emit += self.p["bias"]
+        return emit
+
+    def runs(self, emit: np.ndarray, begins: np.ndarray | None = None, least: float = 0.0) -> list[tuple[int, int]]:
+        """Parts of texts outside which the best path has no spans: (start, end).
+
+        ``emit`` has the emissions of texts one after another, which begin at ``begins`` (None: one text).  A span is on
+        the best path only if it gains over none at its positions.  Its emissions and inner transitions are added up from
+        sums over the text, and the transitions into and out of it taken at their best.  A span gains at least its least
+        margin, so parts without one that may gain ``least`` are left out as well.
         """
         trans = self.p["trans"].astype(np.float64)
-        ends = 2 * float(trans.max() - trans.min()) + 0.01
         own = np.arange(1, self.TAGS, 2)
-        first = emit[:, own] - emit[:, :1] + (trans[own, own + 1] - trans[own + 1, own + 1])
-        first += ends + np.abs(trans[own, own + 1] - trans[own + 1, own + 1])
-        further = np.cumsum(emit[:, own + 1] - emit[:, :1] + trans[own + 1, own + 1] - trans[0, 0], axis=0, dtype=np.float64)
+        into = (trans[:, own] - trans[:, :1]).max(axis=0)
+        onward = np.concatenate(([0], own))
+        leave = np.maximum(trans[own][:, onward], trans[own + 1][:, onward]) - trans[0, onward]
+        step = trans[own, own + 1] - trans[own + 1, own + 1]
+        none = emit[:, :1]
+        first = emit[:, own] - none
+        first += (into + leave.max(axis=1) + np.maximum(step, 0) + 0.001).astype(F32)
+        further = (emit[:, own + 1] - none).astype(np.float64)
+        further += trans[own + 1, own + 1] - trans[0, 0]
+        if begins is not None:
+            further[begins] = -1e6  # No span goes on into the next text.
+        further = np.cumsum(further, axis=0, out=further)
         most = np.maximum.accumulate(further[::-1], axis=0)[::-1]
-        starts, kinds = np.nonzero(first + (most - further) > 0)
+        gain = most - further
+        gain += first
+        starts = np.flatnonzero((gain > 0).any(axis=1))
         if not len(starts):
             return []
-        stops = np.empty(len(starts), np.int64)
+        stops = starts + 1
         for k in range(len(KINDS)):
-            which = np.flatnonzero(kinds == k)
+            which = np.flatnonzero(gain[starts, k] > 0)
             low = further[starts[which], k] - first[starts[which], k]
             # ``most`` falls, so the last position above ``low`` is found by bisection.
-            stops[which] = len(emit) - np.searchsorted(most[::-1, k], low, side="right")
-        reach = np.maximum.accumulate(np.maximum(stops, starts + 1))
-        breaks = np.flatnonzero(starts[1:] > reach[:-1] + 1)
-        begin = starts[np.concatenate(([0], breaks + 1))]
-        end = np.minimum(reach[np.concatenate((breaks, [len(starts) - 1]))] + 1, len(emit))
-        return list(zip(begin.tolist(), end.tolist()))
+            ends = len(emit) - np.searchsorted(most[::-1, k], low, side="right")
+            stops[which] = np.maximum(stops[which], ends)
+        if begins is not None:
+            ends = np.append(begins[1:], len(emit))
+            stops = np.minimum(stops, ends[np.searchsorted(begins, starts, side="right") - 1])
+        reach = np.maximum.accumulate(stops)
+        new = starts[1:] > reach[:-1] + 1
+        if begins is not None:
+            new |= np.diff(np.searchsorted(begins, starts, side="right")) > 0
+        breaks = np.flatnonzero(new) + 1
+        heads = np.concatenate(([0], breaks))
+        enough = np.maximum.reduceat(gain[starts].max(axis=1), heads) >= least
+        end = reach[np.concatenate((breaks, [len(starts)])) - 1] + 1
+        limit = len(emit)
+        if begins is not None:
+            limit = np.append(begins[1:], limit)[np.searchsorted(begins, starts[heads], side="right") - 1]
+        end = np.minimum(end, limit)
+        return list(zip(starts[heads][enough].tolist(), end[enough].tolist()))
 
     def best(self, runs: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Tags and margins of runs of emissions, each with none before and after it."""
@@ -390,7 +438,7 @@ class SpanNet:
             # Runs of about one length together, in bounded memory.
             length = max(16, len(runs[order[at]]) * 5 // 4)
             stop = at + 1
-            while stop < len(order) and len(runs[order[stop]]) <= length and (stop - at) * length < BATCH * STRIDE:
+            while stop < len(order) and len(runs[order[stop]]) <= length and (stop - at) * length < 1 << 16:
                 stop += 1
             length = len(runs[order[stop - 1]]) + 1
             emit = np.full((length, self.TAGS, stop - at), -1e4, F32)
@@ -410,13 +458,9 @@ def trained(training: Training = Training()) -> SpanNet:
     return SpanNet(training)
 
 
-def windows_of(text: str) -> np.ndarray:
-    """Inputs of all windows of a text; the middles, with the first window's beginning, cover it."""
-    codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
-    count = max(1, -(-(len(codes) - HALO) // STRIDE))
-    padded = np.zeros((count - 1) * STRIDE + WINDOW, np.int64)
-    padded[: len(codes)] = symbols(codes)[: len(padded)]
-    return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
+def inputs_of(text: str) -> np.ndarray:
+    """A text's code points as network inputs."""
+    return symbols(np.frombuffer(text.encode("utf-32-le", "replace"), "<u4"))
 
 
 def spans_in(tags: np.ndarray, margins: np.ndarray, at: int) -> list[tuple[int, int, str, float]]:
@@ -446,6 +490,20 @@ def plausible(text: str, kind: str) -> bool:
     return 9 <= digits <= 15 and text[-1].isdigit() and len(text) <= 2 * digits
 
 
+def _groups(texts: list[str]) -> Iterator[list[int]]:
+    """Numbers of the texts that are not empty, in groups of about BATCH windows."""
+    group, held = [], 0
+    for k, text in enumerate(texts):
+        if text:
+            group.append(k)
+            held += -(-len(text) // STRIDE)
+            if held >= BATCH:
+                yield group
+                group, held = [], 0
+    if group:
+        yield group
+
+
 def add_network(
     texts: list[str], base: list[list[tuple[int, int, str]]], net: SpanNet, least: float = LEAST_MARGIN
 ) -> list[list[tuple[int, int, str]]]:
@@ -458,33 +516,13 @@ def add_network(
     runs: list[np.ndarray] = []
     places: list[tuple[int, int]] = []
 
-    def flush(owners: list[int], windows: list[np.ndarray]) -> None:
-        """Emissions of whole texts, of which the runs are kept."""
-        firsts = np.cumsum([0, *map(len, windows)])
-        inputs = np.concatenate(windows)
-        first = np.zeros(len(inputs), dtype=bool)
-        first[firsts[:-1]] = True
-        parts = [net.emissions(inputs[k : k + BATCH], first[k : k + BATCH]) for k in range(0, len(inputs), BATCH)]
-        middle, begin = np.concatenate([m for m, _ in parts]), np.concatenate([b for _, b in parts])
-        for k, owner in enumerate(owners):
-            emit = np.concatenate([begin[k], middle[firsts[k] : firsts[k + 1]].reshape(-1, net.TAGS)])[: len(texts[owner])]
-            for start, end in net.runs(emit):
-                runs.append(emit[start:end].copy())
-                places.append((owner, start))
-
-    owners: list[int] = []
-    windows: list[np.ndarray] = []
-    held = 0
-    for k, text in enumerate(texts):
-        if not text:
-            continue
-        owners.append(k), windows.append(windows_of(text))
-        held += len(windows[-1])
-        if held >= BATCH:
-            flush(owners, windows)
-            owners, windows, held = [], [], 0
-    if owners:
-        flush(owners, windows)
+    for group in _groups(texts):
+        emit = net.emissions([inputs_of(texts[k]) for k in group])
+        begins = np.cumsum([0, *(len(texts[k]) for k in group[:-1])])
+        for start, end in net.runs(emit, begins, least):
+            own = int(np.searchsorted(begins, start, side="right")) - 1
+            runs.append(emit[start:end].copy())
+            places.append((group[own], start - int(begins[own])))
     for (k, at), (tags, margins) in zip(places, net.best(runs)):
         for a, b, kind, margin in spans_in(tags, margins, at):
             a = _name_start(texts[k], a, b) if kind == "email" else a

@@ -122,8 +122,9 @@ def test_base_personal_spans():
 def test_network_adds_spans():
     net = pii.trained()
     inputs, tags = pii.labelled_windows(300, 99)
-    got, _ = net.decode(inputs)
-    assert (got == tags)[inputs > 0].mean() > 0.9
+    rows = [(x[x > 0].astype(np.uint8), y[x > 0]) for x, y in zip(inputs, tags)]
+    right = [(net.best([net.emissions([x])])[0][0] == y) for x, y in rows if len(x)]
+    assert np.concatenate(right).mean() > 0.93
     cases = {
         "call me at (415) 555-0199 today": ["(415) 555-0199"],
         "mail bob @ example.org now": ["bob @ example.org"],
@@ -158,9 +159,7 @@ def test_spelled_addresses_without_digits():
     assert pii.all_spans(pa.array(calm), net) == [[] for _ in calm]
     # The network alone finds them as well where the marks are in brackets.
     text = before + spans[0] + ", and so on"
-    x = pii.windows_of(text)
-    middle, begin = net.emissions(x, np.arange(len(x)) == 0)
-    emit = np.concatenate([begin[0], middle.reshape(-1, net.TAGS)])[: len(text)]
+    emit = net.emissions([pii.inputs_of(text)])
     own = [s for (a, _), (t, m) in zip(net.runs(emit), net.best([emit[a:b] for a, b in net.runs(emit)])) for s in pii.spans_in(t, m, a)]
     assert spans[0] in [text[a:b] for a, b, _, _ in own]
 
@@ -183,6 +182,35 @@ def test_runs_hold_the_best_path():
         assert np.array_equal(got, want)
 
 
+def test_runs_of_joined_texts():
+    """Texts decoded together have the runs they have alone; ``least`` leaves out only runs without a wide margin."""
+    net, rng = pii.trained(), np.random.default_rng(4)
+    for _ in range(40):
+        texts = [(rng.standard_normal((n, net.TAGS)) * 2).astype(np.float32) for n in rng.integers(1, 60, 5)]
+        for emit in texts:
+            emit[:, 1::2] -= rng.choice([2, 4])
+        begins = np.cumsum([0, *map(len, texts[:-1])])
+        alone = [(a + k, b + k) for k, emit in zip(begins.tolist(), texts) for a, b in net.runs(emit)]
+        assert net.runs(np.concatenate(texts), begins) == alone
+        few = [(a + k, b + k) for k, emit in zip(begins.tolist(), texts) for a, b in net.runs(emit, least=4.0)]
+        assert set(few) <= set(alone) and net.runs(np.concatenate(texts), begins, 4.0) == few
+        for (a, b), (tags, margins) in zip(alone, net.best([np.concatenate(texts)[a:b] for a, b in alone])):
+            assert (a, b) in few or all(m < 4 for *_, m in pii.spans_in(tags, margins, 0))
+
+
+def test_windows_give_the_spans_of_one_decoding(monkeypatch, rows):
+    """Overlapping windows against one window over the whole text."""
+    net = pii.trained()
+    rng = random.Random(8)
+    made = [" ".join(rng.choice([pii._word, pii._word, pii._word, pii._other, pii._phone, pii._email])(rng) for _ in range(400)) for _ in range(6)]
+    texts = [t for _, t in rows if t][:60] + made
+    parts = pii.all_spans(pa.array(texts), net)
+    monkeypatch.setattr(pii, "STRIDE", 1 << 22)
+    whole = pii.all_spans(pa.array(texts), net)
+    same = sum(len(set(a) & set(b)) for a, b in zip(parts, whole))
+    assert same > 300 and same >= 0.99 * max(sum(map(len, parts)), sum(map(len, whole)))
+
+
 def test_personal_query(spark, hard, empty, rows):
     found = {r["doc_id"]: r for r in pii.op2_pii(spark, SF).collect()}
     assert len(found) == len(rows)
