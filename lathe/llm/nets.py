@@ -234,25 +234,35 @@ def viterbi(emit: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def best_tags(emit: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As ``viterbi``, for emissions (steps, tags, batch): best tags by max-marginals, and their margins."""
+    """As ``viterbi``, for emissions (steps, tags, batch): best tags by max-marginals, and their margins.
+
+    Where the best path has tag 0 throughout, the margins are left at 0.
+    """
     steps, n, batch = emit.shape
     score = np.empty_like(emit)
     ways = np.empty((n, n, batch), F32)
     into, out = trans.T[:, :, None].astype(F32), trans[:, :, None].astype(F32)
     score[0] = emit[0]
+    none = emit[0, 0].copy()
     for t in range(1, steps):
         np.add(score[t - 1], into, out=ways)
         np.max(ways, axis=1, out=score[t])
         score[t] += emit[t]
-    tags, margin = np.empty((steps, batch), np.int8), np.empty((steps, batch), F32)
-    ahead = np.zeros((n, batch), F32)
+        # In the same order as above, so the path of tag 0 alone has exactly this score.
+        none += into[0, 0]
+        none += emit[t, 0]
+    tags, margin = np.zeros((steps, batch), np.int8), np.zeros((steps, batch), F32)
+    some = np.flatnonzero(score[-1].max(0) > none)
+    if not len(some):
+        return tags, margin
+    score, emit = np.ascontiguousarray(score[:, :, some]), np.ascontiguousarray(emit[:, :, some])
+    ways = np.empty((n, n, len(some)), F32)
+    ahead = np.zeros((n, len(some)), F32)
     for t in range(steps - 1, -1, -1):
-        whole = score[t]
-        whole += ahead
-        best = whole.max(0)
-        tags[t] = whole.argmax(0)
-        np.put_along_axis(whole, tags[t][None].astype(np.int64), -np.inf, 0)
-        margin[t] = best - whole.max(0)
+        score[t] += ahead
         np.add(emit[t] + ahead, out, out=ways)
         np.max(ways, axis=1, out=ahead)
+    best, own = score.max(1), score.argmax(1)
+    np.put_along_axis(score, own[:, None], -np.inf, 1)
+    tags[:, some], margin[:, some] = own, best - score.max(1)
     return tags, margin

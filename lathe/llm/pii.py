@@ -151,10 +151,10 @@ class Training:
     """Bounds of the training: labelled windows, steps, windows in a step, and sizes of the network."""
 
     windows: int = 1600
-    steps: int = 400
+    steps: int = 600
     batch: int = 64
-    embed: int = 12
-    hidden: int = 20
+    embed: int = 8
+    hidden: int = 16
     rate: float = 0.012
     seed: int = 11
 
