@@ -48,11 +48,12 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{24,}")
 GITHUB = re.compile("gh[pousr]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 NPM = re.compile("npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
-PEM = re.compile(
-    "-----BEGIN ([A-Z0-9 ]{0,32}PRIVATE KEY)-----\\s{1,4}((?:[A-Za-z0-9+/=]{1,76}\\s{1,4}){1,200})-----END \\1-----"
-)
+PEM_BEGIN = re.compile("-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+#: Lines ``Name: value``, which may be folded, ahead of a key's body.
+PEM_HEADERS = re.compile("(?:\\s*[A-Za-z0-9-]+:[^\\n]*(?:\\n[ \\t][^\\n]*)*(?:\\n|$))+")
+PEM_BODY = re.compile("[A-Za-z0-9+/=\\s]+")
 BASE62 = string.digits + string.ascii_uppercase + string.ascii_lowercase
-ADDED = {"github": GITHUB, "npm": NPM, "pem": PEM}
+ADDED = {"github": GITHUB, "npm": NPM}
 
 
 def checksum62(body: str) -> str:
@@ -64,10 +65,24 @@ def checksum62(body: str) -> str:
     return digits
 
 
-def _valid(kind: str, found: re.Match) -> bool:
-    if kind == "pem":
-        return len("".join(found[2].split())) % 4 == 0
-    return checksum62(found[1]) == found[2]
+def pem_end(text: str, start: int) -> int:
+    """Where the private key that begins at ``start`` ends, or -1.
+
+    Its end mark is the next five dashes, so the time is linear in the text however long the key.  Between the marks stand
+    header lines, if any, and base64 in whole groups of four; line ends may be spelled as in a quoted string.
+    """
+    begin = PEM_BEGIN.match(text, start)
+    if not begin:
+        return -1
+    mark = f"-----END {begin[1]}-----"
+    stop = text.find("-----", begin.end())
+    if stop < 0 or not text.startswith(mark, stop):
+        return -1
+    body = text[begin.end() : stop].replace("\\r", "\r").replace("\\n", "\n")
+    if headers := PEM_HEADERS.match(body):
+        body = body[headers.end() :]
+    size = len("".join(body.split()))
+    return stop + len(mark) if PEM_BODY.fullmatch(body) and size and size % 4 == 0 else -1
 
 
 @lru_cache(maxsize=1)
@@ -119,7 +134,11 @@ def scan(text: str, lowered: str, hex_suspect: bool = True) -> list[tuple[int, i
                 last[kind] = found.end()
                 if found.end() - start >= 20:
                     spans.append((start, found.end(), kind))
-        elif (found := ADDED[kind].match(text, start)) and _valid(kind, found):
+        elif kind == "pem":
+            if (stop := pem_end(text, start)) >= 0:
+                last[kind] = stop
+                spans.append((start, stop, kind))
+        elif (found := ADDED[kind].match(text, start)) and checksum62(found[1]) == found[2]:
             last[kind] = found.end()
             spans.append((start, found.end(), kind))
     if hex_suspect:
