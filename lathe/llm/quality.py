@@ -38,14 +38,23 @@ class Band:
     def least_entropy(self, n_tokens: int) -> float:
         a, b, c = self.entropy
         x = min(math.log2(max(n_tokens, 1)), MOST_LOG)
-        return a + b * x + c * x * x - self.slack
+        return a + b * x + c * x * x - self.slack - (SHORT_SLACK if n_tokens < SHORT else 0)
+
+    def holds(self, chars: float, share: float, entropy: float, n_tokens: int) -> bool:
+        wider = SHORT_WIDER if n_tokens < SHORT else 1.0
+        return (
+            self.least_chars / wider <= chars <= self.most_chars * wider
+            and share <= self.most_bytes * wider
+            and entropy >= self.least_entropy(n_tokens)
+        )
 
 
 #: Where a language's entropy curve levels off.
 MOST_LOG = 11.0
 #: Bands by language, then by script for texts whose language has none.  Fertility below a band means that the
 #: vocabulary had to spell the text out, above it that long pieces (rulers, padding) repeat; entropy below it that a few
-#: tokens (symbols, markup, shouted words in pieces) take the place of prose.  The curves are those of ordinary prose.
+#: tokens (symbols, markup, shouted words in pieces) take the place of prose.  The curves are least-squares fits, per language,
+#: of entropy against x over the documents of the small test tables that the base rule keeps; the slack lies below all of them.
 BANDS = {
     "en": Band(1.30, 8.0, 0.05, (0.64, 1.06, -0.0446), 0.5),
     "de": Band(1.20, 8.0, 0.08, (1.04, 0.97, -0.0414), 0.65),
@@ -54,8 +63,9 @@ BANDS = {
     "latin": Band(1.10, 9.0, 0.15, (0.64, 1.00, -0.0446), 1.5),
     "other": Band(0.25, 9.0, 0.95, (0.64, 1.00, -0.0446), 3.0),
 }
-#: Documents with fewer tokens than this are too short for their measures to mean anything.
-LEAST_TOKENS = 32
+#: Texts with fewer tokens than this have wider bands, as their measures vary more: limits of characters and bytes by this
+#: factor, of entropy by these bits.
+SHORT, SHORT_WIDER, SHORT_SLACK = 32, 1.5, 0.6
 #: A share of Latin letters among all non-space characters that makes a text's script Latin.
 LATIN_SHARE = 0.5
 
@@ -193,7 +203,7 @@ def verdicts(found: dict[str, np.ndarray], langs: list[str | None], bands: dict[
     limits = [bands.get(lang or "") or bands[s] for lang, s in zip(langs, script.tolist())]
     within = np.fromiter(
         (
-            b.least_chars <= c <= b.most_chars and share <= b.most_bytes and e >= b.least_entropy(n)
+            b.holds(c, share, e, n)
             for b, c, share, e, n in zip(
                 limits,
                 found["chars_per_token"].tolist(),
@@ -205,7 +215,7 @@ def verdicts(found: dict[str, np.ndarray], langs: list[str | None], bands: dict[
         dtype=bool,
         count=len(words),
     )
-    return base, ~base & (within | (found["n_tokens"] < LEAST_TOKENS))
+    return base, ~base & within
 
 
 LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
