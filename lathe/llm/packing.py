@@ -1,18 +1,20 @@
 """Harmonic packing of token ids into sequences of a fixed capacity.
 
 A document's ids fill as many whole sequences as they can.  What is left, the tail, has a length of at most
-``capacity / k`` and more than ``capacity / (k + 1)`` for one k, its reciprocal-capacity class.  A class's bin takes k
-tails, so a worker fills bins of all classes one document at a time, holding at most one open bin for each class and
-asking no other worker.  A bin that has its k tails is short of its capacity by a gap; the first ids of the next tail
-fill it, and the rest of that tail is dealt to its own class.  A document is thus cut about once per bin, and bins are
-exactly full.  At a worker's end the open bins are run together; the last of them is cut into sequences whose lengths
-are powers of two, which need no padding.
+``capacity / k`` and more than ``capacity / (k + 1)`` for one k, its reciprocal-capacity class.  A class's bin takes exactly
+k tails, so a worker fills bins of all classes one document at a time, holding at most one open bin for each class and
+asking no other worker.  A bin that has its k tails is short of its capacity by a gap.  Without more, these gaps are the
+padding (``HarmonicPacker.gaps``).  So a tail that fits into the gaps standing open goes there whole, cut from one bin to the
+next, and into no class; the gaps that stand open are thus never more than the longest tail.  At a worker's end the tails of
+bins still open fill the last gaps and are run together; the last sequence is cut into powers of two, which need no padding.
 
 Each task's bins depend on its own rows alone: a lost task gives the same pieces when run again.
 """
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -37,8 +39,11 @@ class HarmonicPacker:
     def __init__(self, capacity: int = CAPACITY, classes: int = CLASSES):
         self.capacity, self.classes = capacity, classes
         self.open: dict[int, list[Piece]] = {}
-        self.short: list[Piece] = []
+        #: Bins that have their count of tails, with their gaps.
+        self.short: deque[tuple[list[Piece], int]] = deque()
         self.gap = 0
+        #: Ids placed, and what the class bins alone would pad.
+        self.placed = self.gaps = 0
         self.sequence = 0
         self.rows: list[tuple] = []
 
@@ -50,65 +55,76 @@ class HarmonicPacker:
         self.sequence += 1
 
     def _fill(self, piece: Piece) -> Piece | None:
-        """Put as much of a piece as fits into the bin that is short; the rest of the piece."""
+        """Put as much of a piece as fits into the bins that are short, in order; the rest of the piece."""
         doc_id, start, ids, doc_tokens = piece
-        taken = min(self.gap, len(ids))
-        if taken:
-            self.short.append((doc_id, start, ids[:taken], doc_tokens))
+        while self.short and len(ids):
+            pieces, gap = self.short.popleft()
+            taken = min(gap, len(ids))
+            pieces.append((doc_id, start, ids[:taken], doc_tokens))
+            start, ids, gap = start + taken, ids[taken:], gap - taken
             self.gap -= taken
-            if not self.gap:
-                self._close(self.short)
-                self.short = []
-        return (doc_id, start + taken, ids[taken:], doc_tokens) if taken < len(ids) else None
+            if gap:
+                self.short.appendleft((pieces, gap))
+            else:
+                self._close(pieces)
+        return (doc_id, start, ids, doc_tokens) if len(ids) else None
+
+    def _short(self, pieces: list[Piece]) -> None:
+        gap = self.capacity - sum(len(p[2]) for p in pieces)
+        if gap:
+            self.short.append((pieces, gap))
+            self.gap += gap
+        else:
+            self._close(pieces)
 
     def add(self, doc_id, ids: np.ndarray) -> None:
         n, start = len(ids), 0
+        self.placed += n
         while n - start >= self.capacity:
             self._close([(doc_id, start, ids[start : start + self.capacity], n)])
             start += self.capacity
-        tail = self._fill((doc_id, start, ids[start:], n)) if start < n else None
-        if tail is None:
+        if start == n:
+            return
+        tail = (doc_id, start, ids[start:], n)
+        if n - start <= self.gap:
+            self._fill(tail)
             return
-        kind = min(self.capacity // len(tail[2]), self.classes)
+        kind = min(self.capacity // (n - start), self.classes)
         pieces = self.open.setdefault(kind, [])
         pieces.append(tail)
         if len(pieces) == kind:
             del self.open[kind]
+            self.gaps += self.capacity - sum(len(p[2]) for p in pieces)
             self._short(pieces)
 
-    def _short(self, pieces: list[Piece]) -> None:
-        """A bin with its count of tails: closed if full, else the one that is short (no other is, as ``add`` filled it
-        first, or took a whole tail without reaching this point)."""
-        gap = self.capacity - sum(len(p[2]) for p in pieces)
-        if gap:
-            self.short, self.gap = pieces, gap
-        else:
-            self._close(pieces)
-
     def finish(self) -> None:
         left = [p for kind in sorted(self.open) for p in self.open[kind]]
         self.open = {}
-        if not self.gap:
-            self.short, self.gap = [], self.capacity
         for piece in left:
             while piece is not None:
                 piece = self._fill(piece)
-                if not self.gap:
-                    self.gap = self.capacity
-        rest, self.short = self.short, []
-        length = self.capacity - self.gap
-        self.gap = 0
+                if piece is not None:
+                    self.short.append(([], self.capacity))
+                    self.gap += self.capacity
+        while self.short:
+            rest, gap = self.short.popleft()
+            self.gap -= gap
+            self._powers(rest, self.capacity - gap)
+
+    def _powers(self, rest: list[Piece], length: int) -> None:
+        """Close pieces of ``length`` ids in all as sequences whose lengths are powers of two."""
+        rest = deque(rest)
         while length:
             part = 1 << length.bit_length() - 1
             length -= part
             pieces = []
             while part:
-                doc_id, start, ids, doc_tokens = rest.pop(0)
+                doc_id, start, ids, doc_tokens = rest.popleft()
                 taken = min(part, len(ids))
                 pieces.append((doc_id, start, ids[:taken], doc_tokens))
                 part -= taken
                 if taken < len(ids):
-                    rest.insert(0, (doc_id, start + taken, ids[taken:], doc_tokens))
+                    rest.appendleft((doc_id, start + taken, ids[taken:], doc_tokens))
             self._close(pieces)
 
 
