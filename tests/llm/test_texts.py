@@ -270,6 +270,18 @@ def test_quality_verdicts(spark):
             assert r["kept"]
 
 
+def test_short_texts_have_bands():
+    """Junk is rejected and prose kept on either side of the border between short and other texts."""
+    for words in (10, 14, 31, 33, 60):
+        junk = " ".join(["###", "$$$", "&&&", "***"][k % 4] for k in range(words))
+        prose = " ".join("the old town lies by a river that runs down from high hills where sheep graze in summer and snow stays "
+                         "late most years so farmers who live there keep small barns full of hay for cattle until spring comes "
+                         "with rain warm wind green fields long light days bright song birds new leaves many more".split()[:words])
+        found = quality.measure(pa.array([junk, prose]), quality.default_vocabulary())
+        found["n_repeat_words"][:] = 0
+        assert quality.verdicts(found, ["en", "en"], quality.BANDS)[1].tolist() == [False, True], words
+
+
 # -- secrets
 
 
@@ -308,6 +320,18 @@ def test_checksums():
     assert [[s[2] for s in f] for f in _scan([f"x {good} y", f"x {bad} y", npm, key])] == [["github"], [], ["npm"], ["pem"]]
 
 
+def test_private_keys_of_any_length():
+    ends = "-----BEGIN RSA PRIVATE KEY-----\n", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,\n  0AB1\n\n"
+    bodies = ["QUJD\n" * n for n in (1, 200, 201, 5000)] + ["QUJD" * 30 + "\n", head + "QUJD\n", "QUJD\\nQUJD\\n", "QUJD"]
+    for body in bodies:
+        text = f"x {ends[0]}{body}{ends[1]} y"
+        assert [s for s in _scan([text])[0] if s[2] == "pem"] == [(2, len(text) - 2, "pem")], body[:40]
+    for bad in ["QUJ\n", "", "QU-JD\n", "no base64: at all\n"]:
+        assert _scan([f"{ends[0]}{bad}{ends[1]}"]) == [[]]
+    assert _scan([ends[0] + "QUJD\n" + "-----END EC PRIVATE KEY-----", ends[0] * 3000]) == [[], []]
+
+
 def test_secret_query(spark, hard, empty, rows):
     found = {r["doc_id"]: r for r in secrets.op7_secrets(spark, SF).collect()}
     for i, text in rows:

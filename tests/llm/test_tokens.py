@@ -144,3 +144,23 @@ def test_id_files(spark, hard, empty, rows, tmp_path):
         reader = idfiles.IdFileReader(stream)
         whole = reader.blocks(0, len(reader.starts) - 1)
         assert len(whole) == reader.ids and np.array_equal(reader.blocks(0, 1), whole[: idfiles.BLOCK])
+
+
+def test_class_bins_hold_their_count_of_tails():
+    """A bin closed by its class has exactly its count of whole tails; what else it holds was cut to fill its gap."""
+    rng = np.random.default_rng(3)
+    packer = packing.HarmonicPacker(64, 8)
+    sizes = rng.integers(1, 150, 3000).tolist()
+    for k, n in enumerate(sizes):
+        packer.add(k, np.full(n, k, "<u4"))
+        assert packer.gap == sum(g for _, g in packer.short) <= 64 + 64
+        assert all(len(p) >= 1 and sum(len(x[2]) for x in p) + g == 64 for p, g in packer.short)
+    for kind, pieces in packer.open.items():
+        assert len(pieces) < kind and all(min(64 // len(x[2]), 8) == kind for x in pieces)
+    packer.finish()
+    filled = {}
+    for doc, start, ids, total, sequence, offset in packer.rows:
+        assert total == sizes[doc] and (ids == doc).all() and offset == filled.get(sequence, 0)
+        filled[sequence] = offset + len(ids)
+    assert sum(filled.values()) == sum(sizes) == packer.placed
+    assert all(n == 64 or n & (n - 1) == 0 for n in filled.values()) and 0 < packer.gaps < packer.placed / 2
