@@ -4,15 +4,15 @@ A document's set holds its different shingles of five words.  One permutation of
 bin keeps its least value, and an empty bin takes that of the first non-empty one in a fixed random order of its own
 (optimal densification).  Bands of bins are hashed to buckets.
 
-Documents with equal sets are one node from the start.  A bucket's candidates form a star: every member with one centre,
+Documents with equal sets (by 128 bits of a hash of the set) are one node from the start.  A bucket's candidates form a star: every member with one centre,
 so a bucket of n nodes gives n - 1 pairs.  All candidates are confirmed on full sets of freshly cut shingles, and
 confirmed links joined to components.  Members that a star leaves in different components are dealt with exactly: the
 Jaccard distance is a metric, so nodes at distances d and e from the centre are at least ``abs(d - e)`` apart, which
 rules out most pairs unseen.  Of buckets with the same members one is kept.  What is left of a bucket of at most
-``Settings.block`` members goes to one task, which counts the shingles that members outside the largest component share
+``Settings.block`` members and ``block_chars`` characters goes to one task, which counts the shingles that members outside the largest component share
 with all others from an inverted list, and gives the links between components.  Larger buckets get further stars around
-members outside the largest component until they are as small, or in one component, or all such members have been
-centres.  Nothing is capped.
+members outside the largest component, twice as many in each round, until they are as small, or in one component, or all
+such members have been centres.  Nothing is capped.
 
 With 64 bands of 6 bins a pair of likeness 0.75 shares no bucket with probability 4e-6.
 """
@@ -45,10 +45,15 @@ class Settings:
     likeness: int = 75  # in hundredths
     bands: int = 64
     rows: int = 6
-    #: Centres of a bucket in each round after the first.
+    #: Centres of a bucket in the second round; their number doubles from round to round, so the rounds are few.
     stars: int = 32
-    #: Members of a bucket that one task takes at once (a text of each is in memory).
+    #: Members of a bucket that one task takes at once, and characters of their texts (which are in memory).
     block: int = 5000
+    block_chars: int = 64 << 20
+    #: Members from which a bucket is large: its rows stay where they are, and what they are joined with is sent to them
+    #: if it has at most ``few`` rows (of 32 bytes at most).
+    large: int = 1000
+    few: int = 100_000
 
     @property
     def bins(self) -> int:
@@ -90,9 +95,10 @@ def shingle_sets(texts: pa.Array, words: int = 5) -> list[np.ndarray]:
     return out
 
 
-def node_of(shingles: np.ndarray) -> int:
-    """A set's 64-bit name, as a signed number."""
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - 2**63
+def node_of(shingles: np.ndarray) -> tuple[int, int]:
+    """A set's name of 128 bits, as two signed numbers."""
+    name = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    return (name >> 64) - 2**63, (name & (2**64 - 1)) - 2**63
 
 
 @lru_cache(maxsize=2)
@@ -136,26 +142,44 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signed(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, text_key, n_shingles, node, bands) of each document; node and bands null for an empty set."""
+    """(doc_id, text_key, n_shingles, node, other, bands) of each document; the last three null for an empty set.
+
+    ``node`` and ``other`` are the two halves of the set's name.
+    """
 
     def run(batches):
         for batch in rebatch(batches, "text"):
             sets = shingle_sets(batch.column("text"), settings.words)
+            names = [node_of(s) if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     batch.column("text_key"),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([a for a, _ in names], pa.int64()),
+                    pa.array([b for _, b in names], pa.int64()),
                     pa.array(
                         [band_keys(signature(s, settings.bins), settings.bands) if len(s) else None for s in sets],
                         pa.list_(pa.int64()),
                     ),
                 ],
-                ["doc_id", "text_key", "n_shingles", "node", "bands"],
+                ["doc_id", "text_key", "n_shingles", "node", "other", "bands"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, n_shingles long, node long, bands array<long>")
+    schema = "doc_id long, text_key long, n_shingles long, node long, other long, bands array<long>"
+    return docs.mapInArrow(run, schema)
+
+
+def told_apart(sigs: DataFrame) -> DataFrame:
+    """``sigs`` with new nodes for sets whose names agree in their first half alone, so that a node is one set."""
+    clash = sigs.groupBy("node").agg(F.min("other").alias("x"), F.max("other").alias("y")).filter("x != y")
+    clash = written(clash.select("node", "x"), "clashes")
+    if clash.isEmpty():
+        return sigs
+    found = sigs.join(clash, "node", "left").withColumn(
+        "node", F.when(F.col("other") != F.col("x"), F.xxhash64("node", "other")).otherwise(F.col("node"))
+    )
+    return written(found.select(sigs.columns), "signatures")
 
 
 def _packed_texts(docs: DataFrame) -> DataFrame:
@@ -211,14 +235,16 @@ def near_links(docs: DataFrame, sigs: DataFrame, settings: Settings) -> DataFram
     )
     spread = nodes.select("node", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = written(spread.join(shared.select("band", "centre"), "band"), "buckets")
+    buckets = written(_in_buckets(spread, shared, settings), "buckets")
     if buckets.isEmpty():
         return None
     members = buckets.select("node").distinct()
-    least = sigs.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep"))
+    least = sigs.groupBy("node").agg(
+        F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep"), F.first("other").alias("other")
+    )
     reps = least.join(members, "node")
     wanted = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    wanted = _packed_texts(wanted).join(reps.select(F.col("rep").alias("doc_id"), "node"), "doc_id")
+    wanted = _packed_texts(wanted).join(reps.select(F.col("rep").alias("doc_id"), "node", "other"), "doc_id")
     # Rows with one id may have several texts: those of other nodes go.
     texts = written(_of_node(wanted, settings), "texts")
 
@@ -228,20 +254,37 @@ def near_links(docs: DataFrame, sigs: DataFrame, settings: Settings) -> DataFram
     found = written(confirmed(pairs, texts, settings), "confirmed")
     links = linked(found).select("a", "b")
     labels = written(components(links), "labels")
-    rest = buckets.select("band", "node")
+    rest, stars = buckets.select("band", "node"), settings.stars
     while True:
-        rest = _open_buckets(rest, labels)
+        rest = _open_buckets(rest, labels, settings)
         if rest is None:
             return labels
-        sizes = rest.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
-        more = _block_links(rest.join(sizes.filter(F.col("n") <= settings.block).select("band"), "band"), texts, settings)
-        rest = written(rest.join(sizes.filter(F.col("n") > settings.block).select("band"), "band"), "large")
+        sizes = rest.join(texts.select("node", "chars"), "node").groupBy("band")
+        sizes = written(sizes.agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")), "sizes")
+        small = (F.col("n") <= settings.block) & (F.col("chars") <= settings.block_chars)
+        more = _block_links(_in_buckets(rest, sizes.filter(small).select("band", "n"), settings), texts, settings)
+        rest = written(_in_buckets(rest, sizes.filter(~small).select("band", "n"), settings), "large")
         if rest.isEmpty():
             return _joined(labels, written(more, "links"))
-        near, pairs = _stars(rest, settings.stars)
+        near, pairs = _stars(rest, stars)
         found = written(confirmed(pairs, texts, settings), "confirmed")
         labels = _joined(labels, written(more.unionByName(linked(found).select("a", "b")), "links"))
-        rest = _after_stars(rest, near, found, settings)
+        rest, stars = _after_stars(rest, near, found, settings), 2 * stars
+
+
+def _in_buckets(rows: DataFrame, buckets: DataFrame, settings: Settings) -> DataFrame:
+    """``rows`` (band, ...) of the ``buckets`` (band, n, ...; n members), with the latter's columns but n.
+
+    Rows of large buckets aren't dealt by band, where one task would get a whole bucket.
+    """
+    buckets = written(buckets, "bands")
+    large = buckets.filter(F.col("n") >= settings.large).drop("n")
+    count = large.count()
+    if not 0 < count <= settings.few:
+        return rows.join(buckets.drop("n"), "band")
+    others = rows.join(F.broadcast(large.select("band")), "band", "left_anti")
+    others = others.join(buckets.filter(F.col("n") < settings.large).drop("n"), "band")
+    return rows.join(F.broadcast(large), "band").unionByName(others)
 
 
 def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
@@ -305,20 +348,23 @@ def block_links(sets: list[np.ndarray], labels: list[int], likeness: int) -> lis
 
 
 def _of_node(wanted: DataFrame, settings: Settings) -> DataFrame:
-    """(node, packed) of rows whose text has the node they were joined to, one for each."""
+    """(node, packed, chars) of rows whose text has the node they were joined to, one for each; chars is its length."""
 
     def run(batches):
         for batch in rebatch(batches, "packed"):
-            sets = shingle_sets(_unpack(batch.column("packed")), settings.words)
-            same = [len(s) > 0 and node_of(s) == node for s, node in zip(sets, batch.column("node").to_pylist())]
-            batch = batch.filter(pa.array(same, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("packed")], ["node", "packed"])
-
-    own = wanted.select("node", "packed").mapInArrow(run, "node long, packed binary")
+            plain = _unpack(batch.column("packed"))
+            sets = shingle_sets(plain, settings.words)
+            # The second half of the name tells: a node may have been renamed for its sake.
+            same = [len(s) > 0 and node_of(s)[1] == other for s, other in zip(sets, batch.column("other").to_pylist())]
+            chars = pc.utf8_length(plain).cast(pa.int64())
+            found = pa.RecordBatch.from_arrays([batch.column("node"), batch.column("packed"), chars], ["node", "packed", "chars"])
+            yield found.filter(pa.array(same, pa.bool_()))
+
+    own = wanted.select("node", "other", "packed").mapInArrow(run, "node long, packed binary, chars long")
     return own.dropDuplicates(["node"])
 
 
-def _open_buckets(rest: DataFrame, labels: DataFrame) -> DataFrame | None:
+def _open_buckets(rest: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame | None:
     """Buckets whose members are in several components, with these: (band, node, label)."""
     named = rest.join(labels.select("node", "component"), "node", "left").select(
         "band", "node", F.coalesce("component", "node").alias("label")
@@ -330,7 +376,7 @@ def _open_buckets(rest: DataFrame, labels: DataFrame) -> DataFrame | None:
         F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members"),
     )
     several = several.filter("x != y").groupBy("n", "members").agg(F.min("band").alias("band"))
-    table = written(named.join(several.select("band"), "band"), "open")
+    table = written(_in_buckets(named, several.select("band", "n"), settings), "open")
     return None if table.isEmpty() else table
 
 
@@ -395,7 +441,7 @@ def find_near_duplicates(
 def _classes(df: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_key, n_shingles, node, label) of each row, as a table; label names its class, null for an empty set."""
     docs = _keyed(df, id_col, text_col)
-    sigs = written(signed(docs, settings), "signatures")
+    sigs = told_apart(written(signed(docs, settings), "signatures"))
     labels = near_links(docs, sigs, settings)
     own = sigs.select("doc_id", "text_key", "n_shingles", "node")
     if labels is None:
