@@ -29,11 +29,25 @@ class Entry:
     partition: list[str] = field(default_factory=list)
 
 
-def tables(spark: SparkSession, sf_dir: str) -> dict[str, Tabular]:
-    return {
-        name: Tabular(spark.read.parquet(f"{sf_dir}/{name}.parquet"), (ORDER[name],) if name in ORDER else ())
-        for name in TABLES
-    }
+class Tables(dict):
+    """The tables of a folder, each opened when it is first named."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> Tabular:
+        if name not in TABLES:
+            raise KeyError(name)
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        self[name] = Tabular(df, (ORDER[name],) if name in ORDER else ())
+        return self[name]
+
+    def get(self, name: str, default=None):
+        return self[name] if name in TABLES else default
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    return Tables(spark, sf_dir)
 
 
 LINE = "in[lineitem]"

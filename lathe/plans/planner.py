@@ -20,7 +20,7 @@ from lathe.operators.numbering import number_rows
 from lathe.operators.pivots import pivot, spread_names
 from lathe.plans.spec import Call, Expr, Lit, Ref, Spec, SpecError
 from lathe.sources.files import Documents, Source, Tabular, open_source
-from lathe.sources.tree import Wanted, extract, unmatched_paths
+from lathe.sources.tree import Wanted, echo, extract, unmatched_paths
 
 DIRECTIVES = {
     "in": (1, 1), "join": (1, 2), "csvonly": (0, 1), "inheader": (0, 1), "joinheader": (0, 1), "outheader": (0, 1),
@@ -313,7 +313,7 @@ class Planner:
         records: bool = True,
     ):
         self.spark, self.query, self.records = spark, Query(specs), records
-        self.source, self.tables = source, tables or {}
+        self.source, self.tables = source, {} if tables is None else tables
         self.partition, self.keep_order = partition or [], keep_order
         self.pivot_names: list[str] = []
         self.sides: list[Side] = []
@@ -444,9 +444,9 @@ class Planner:
                     raise SpecError(f"{shown} least one input path reference")
         self.sides = [Side(left, "l_", refs[0], facts[0], q, self.ordered or bool(q.pivot))]
         df, self.order = self.sides[0].df, self.sides[0].order
-        if q.pivot:
-            df = self._pivot(df)
         wheres = [c.args[0] for c in q.directives.get("where", [])]
+        if q.pivot:
+            df, wheres = self._pivot(df, wheres)
         if joined:
             right = self._open(joined[0], "joinheader")
             self.sides.append(Side(right, "r_", refs[1], facts[1], q, self.ordered))
@@ -470,34 +470,61 @@ class Planner:
 
     def _echo(self, source: Source) -> DataFrame:
         if isinstance(source, Documents):
-            return source.docs.select(F.col("text").alias("xml"))
+            return echo(source.docs, source.kind)
         names = [c for c in source.df.columns if c != "_ord"]
         return source.df.select(F.to_xml(F.struct(*(F.col(f"`{c}`") for c in names)), {"rowTag": "row"}).alias("xml"))
 
-    def _pivot(self, df: DataFrame) -> DataFrame:
+    def _pivot(self, df: DataFrame, wheres: list[Expr]) -> tuple[DataFrame, list[Expr]]:
+        """The pivoted rows, and the filters that still apply to them."""
         q, side = self.query, self.sides[0]
         call = q.pivot.expr
         resolved = q.resolved[id(q.pivot)]
         name, value = convert(self.lower(resolved.args[0]), "str"), convert(self.lower(resolved.args[1]), "str")
-        part = side.part
-        if self.partition:
-            part = F.struct(*(side.vals[(n,), None].col for n in self.partition))
+        keys = [side.vals[(n,), None].col for n in self.partition]
+        part = F.struct(*keys) if keys else side.part
+        plain = "first" not in q.directives and "join" not in q.directives
+        if keys and plain:
+            # A filter on what all of a partition's rows share may come before the pivot, and reach the scan.
+            early = [w for w in wheres if self._of_partition(w)]
+            wheres = [w for w in wheres if w not in early]
+            for where in early:
+                df = df.filter(convert(self.lower(where), "bool"))
         everywhere = len(call.args) > 2 and bool(call.args[2].value)
         named = [n for n in q.pivot.names if n != "..."]
-        found = []
+        others = [c for c in df.columns if c not in (side.prefix + "ord", side.prefix + "part")]
         self.pivot_check = (df, name, part, side.order, named)
+        found = []
         if "..." in q.pivot.names:
-            found = [n for n in spread_names(df, name, part, side.order, everywhere) if n not in named]
+            rows = df
+            tests = [w for w in wheres if not has_aggregate(w) and not self._late(w)]
+            if tests and plain:
+                # Partitions that the filters reject bring no columns.
+                first = pivot(df, name, value, part, side.order, named, others)
+                self.pivoted = self._pivot_vals(named)
+                for where in tests:
+                    first = first.filter(convert(self.lower(where), "bool"))
+                rows = df.join(first.select("_part"), part.eqNullSafe(F.col("_part")), "left_semi")
+            found = spread_names(rows, name, part, side.order, everywhere)
+            if everywhere and rows is df and (missing := [n for n in named if n not in found]):
+                raise SpecError(f"Pivot columns not found in input: {', '.join(missing)}")
         self.pivot_names = []
         for n in q.pivot.names:
-            self.pivot_names += found if n == "..." else [n]
-        others = [c for c in df.columns if c not in (side.prefix + "ord", side.prefix + "part")]
+            self.pivot_names += [f for f in found if f not in named] if n == "..." else [n]
         out = pivot(df, name, value, part, side.order, self.pivot_names, others)
         self.order = F.col("_ord")
-        self.pivoted = {
-            (n if q.case else n.lower()): Val(F.col(f"v{k}"), "any") for k, n in enumerate(self.pivot_names)
-        }
-        return out
+        self.pivoted = self._pivot_vals(self.pivot_names)
+        return out, wheres
+
+    def _pivot_vals(self, names: list[str]) -> dict[str, Val]:
+        return {(n if self.query.case else n.lower()): Val(F.col(f"v{k}"), "any") for k, n in enumerate(names)}
+
+    def _of_partition(self, expr: Expr) -> bool:
+        """Whether an expression refers to columns of the partition alone."""
+        inner = [e for e in walk(expr) if isinstance(e, Ref)]
+        calls = [e for e in walk(expr) if isinstance(e, Call)]
+        if not inner or has_aggregate(expr) or self._late(expr) or any(c.op in FACTS for c in calls):
+            return False
+        return all(not self._is_pivot_name(e) and not e.attr and e.parts in [(n,) for n in self.partition] for e in inner)
 
     def _join(self, left: DataFrame, right: DataFrame, wheres: list[Expr]) -> tuple[DataFrame, list[Expr]]:
         q = self.query

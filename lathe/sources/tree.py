@@ -352,7 +352,10 @@ class _Path:
 
 
 class Matcher:
-    """Rows of a document's events: a list of values for each, partition last (see ``Partitioner``)."""
+    """Rows of a document's events: a list of values for each, partition last (see ``Partitioner``).
+
+    One matcher serves any number of documents, one after another.
+    """
 
     def __init__(self, wanted: Wanted):
         self.wanted = wanted
@@ -377,6 +380,9 @@ class Matcher:
         names: list[str] = []
         numbers: list[int] = []
         attrs: list[dict[str, str]] = []
+        for p in self.paths.values():
+            p.state, p.order, p.value, p.depth, p.text = "search", None, None, 0, []
+        self.facts = [""] * len(self.wanted.facts)
         counter, node, inside = 0, 0, self.wanted.root == 0
         root_depth = 0
         self.matched: set[tuple[str, ...]] = set()
@@ -509,21 +515,56 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.xxhash64("file").alias("doc"), "text")
 
 
+def shown(events: Iterator[Event]) -> str:
+    """A document's events as XML text: an element to a line, further in by its depth."""
+    lines: list[str] = []
+    depth, text, leaf = 0, "", False
+    for event in events:
+        if event[0] == "start":
+            own = "".join(f' {k}="{html.escape(v)}"' for k, v in event[2].items())
+            lines.append(f"{'  ' * depth}<{event[1]}{own}>")
+            depth, text, leaf = depth + 1, "", True
+        elif event[0] == "text":
+            text += event[1]
+        else:
+            depth -= 1
+            end = f"</{event[1]}>"
+            if leaf:
+                lines[-1] += text.strip() + end
+            else:
+                lines.append("  " * depth + end)
+            leaf = False
+    return "\n".join(lines)
+
+
+def echo(docs: DataFrame, kind: str) -> DataFrame:
+    """Documents (doc, text) as XML text (xml): XML as it is, others by their events."""
+    if kind == "xml":
+        return docs.select(F.col("text").alias("xml"))
+
+    def run(batches):
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([shown(EVENTS[kind](text or ""))])], ["xml"])
+
+    return docs.select("text").mapInArrow(run, "xml string")
+
+
 def extract(docs: DataFrame, kind: str, wanted: Wanted) -> DataFrame:
     """Rows of documents (doc, text): text columns p0.. and f0.., ``part``, and ``ord`` (document, then place in it)."""
     names = wanted.names
 
     def run(batches):
+        matcher, rows = Matcher(wanted), []
         for batch in batches:
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
-                rows = []
-                for place, row in enumerate(Matcher(wanted).rows(EVENTS[kind](text or ""))):
-                    rows.append((*row[:-1], row[-1], doc, place))
+                for place, row in enumerate(matcher.rows(EVENTS[kind](text or ""))):
+                    rows.append((*row, doc, place))
                     if len(rows) >= 10_000:
                         yield made(rows)
                         rows = []
-                if rows:
-                    yield made(rows)
+        if rows:
+            yield made(rows)
 
     def made(rows):
         columns = list(zip(*rows))
@@ -542,13 +583,14 @@ def unmatched_paths(docs: DataFrame, kind: str, wanted: Wanted) -> list[tuple[st
     """Paths that no element of any document matches."""
 
     def run(batches):
+        matcher, matched = Matcher(wanted), set()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                matcher = Matcher(wanted)
                 for _ in matcher.rows(EVENTS[kind](text or "")):
                     pass
-                found = [k for k, parts in enumerate(matcher.paths) if parts in matcher.matched]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32())], ["k"])
+                matched |= matcher.matched
+        found = [k for k, parts in enumerate(matcher.paths) if parts in matched]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32())], ["k"])
 
     found = {r["k"] for r in docs.select("text").mapInArrow(run, "k int").distinct().collect()}
     return [parts for k, parts in enumerate(Matcher(wanted).paths) if k not in found]
