@@ -23,7 +23,7 @@ class Val:
     type: str
     #: The value of a literal.
     literal: object = None
-    #: A text column as the source has it, perhaps null, for filters that a scan can use.
+    #: A column of text or times as the source has it, perhaps null, for filters that a scan can use.
     raw: Column | None = None
 
 
@@ -41,9 +41,9 @@ def of_column(col: Column, kind: T.DataType) -> Val:
     if isinstance(kind, T.BooleanType):
         return Val(col, "bool")
     if isinstance(kind, T.DateType):
-        return Val(_datetime(col.cast("timestamp"), F.lit(True)), "datetime")
+        return Val(_datetime(col.cast("timestamp"), F.lit(True)), "datetime", raw=col)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return Val(_datetime(col.cast("timestamp"), F.lit(False)), "datetime")
+        return Val(_datetime(col.cast("timestamp"), F.lit(False)), "datetime", raw=col)
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
         return Val(F.coalesce(F.to_json(col), F.lit("")), "any")
     raw = col if isinstance(kind, T.StringType) else None

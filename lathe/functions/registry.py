@@ -171,7 +171,8 @@ def _comparison(name: str, test: Callable, on_error: bool) -> None:
         if kind == "datetime":
             # One without a time of day comes first on its day; what is no datetime compares as greater.
             key = lambda d: F.struct(d["ts"], ~d["dateonly"])
-            nulls = x["ts"].isNull() | y["ts"].isNull()
+            own = a.raw if a.type == "datetime" and a.raw is not None else x["ts"]
+            nulls = own.isNull() | y["ts"].isNull()
             # In this form the optimiser keeps the test apart from the one on timestamps below.
             whole = F.coalesce(F.when(~nulls, test(key(x), key(y))), F.lit(on_error))
             # The timestamps alone say nearly as much, in a form that scans can use.
@@ -180,7 +181,7 @@ def _comparison(name: str, test: Callable, on_error: bool) -> None:
             if part is None or b.type != "datetime":
                 return Val(whole, "bool")
             return Val(whole & ((part | nulls) if on_error else (part & ~nulls)), "bool")
-        if name == "eq" and kind == "str" and isinstance(b.literal, str) and b.literal and a.raw is not None:
+        if name == "eq" and kind == "str" and isinstance(b.literal, str) and b.literal and a.type == "any" and a.raw is not None:
             return Val(a.raw.eqNullSafe(F.lit(b.literal)), "bool")
         return Val(test(x, y), "bool")
 
