@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import shutil
 import sys
 import tempfile
@@ -14,13 +15,14 @@ from lathe.sink import write_stream
 from lathe.sources.files import open_source
 
 USAGE = """usage: lathe COLUMN_OR_DIRECTIVE...
-Example: cat orders.csv | python -m lathe.cli category sum[sales]
+Example: python -m lathe.cli in[visits.tsv] page visits:count[page] where[seconds>5] sort[-visits]
 A column is name:expression; directives are in[file] join[file] where[..] sort[..] first[n] top[n] distinct[true] sync[path]
 root[n] case[true] csvonly[true] inheader[false] joinheader[false] outheader[false]; @file reads arguments from a file."""
 
 
 def main(args: list[str], out=None) -> int:
     out = out or sys.stdout
+    spooled = None
     try:
         specs = load(args)
         ops = {getattr(s.expr, "op", None) for s in specs}
@@ -34,6 +36,7 @@ def main(args: list[str], out=None) -> int:
             if q.pivot and len(q.pivot.expr.args) > 2 and q.pivot.expr.args[2].value:
                 raise SpecError("Given query requires two passes, so stdin cannot be used as an input.")
             with tempfile.NamedTemporaryFile("wb", suffix=".in", delete=False) as spool:
+                spooled = spool.name
                 shutil.copyfileobj(sys.stdin.buffer, spool)
             planner.source = open_source(spark, spool.name, q.flag("inheader", True), q.flag("csvonly"), records=False)
         header = q.flag("outheader", True) and q.flag("header", True)
@@ -44,6 +47,9 @@ def main(args: list[str], out=None) -> int:
     except SpecError as error:
         print(error, file=sys.stderr)
         return 255
+    finally:
+        if spooled:
+            os.unlink(spooled)
 
 
 if __name__ == "__main__":

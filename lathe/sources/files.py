@@ -88,13 +88,21 @@ def read_delimited(spark: SparkSession, path: str, sep: str, header: bool) -> Da
     """A delimited file with quoted newlines and ragged rows: short rows are padded with empty text, further fields of
     long rows get numbered columns.  ``_ord`` is the record's place."""
     options = {"sep": sep, "multiLine": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False}
-    text = spark.read.text(path)
-    width = text.agg(F.max(F.size(F.split("value", re.escape(sep), -1)))).first()[0] or 1
+    fields = F.size(F.split("value", re.escape(sep), -1))
+    quoted = F.contains("value", F.lit('"'))
+    # Separators may stand within quotes, so lines with quotes only bound the width; parsed records then tell it.
+    most, plain_most = spark.read.text(path).agg(F.max(fields), F.max(F.when(~quoted, fields))).first()
+    most, width = most or 1, plain_most or 1
     schema = lambda n: T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(n)])
-    plain = spark.read.schema(schema(width)).options(**options)
+    plain = spark.read.schema(schema(most)).options(**options)
     first = plain.csv(path).first()
     if first is None:
         return spark.createDataFrame([], "`1` string, _ord long")
+    if most > width:
+        filled = [F.max(F.when(F.col(f"c{k}").isNotNull(), k + 1)) for k in range(width, most)]
+        width = max([width, *(n or 0 for n in plain.csv(path).agg(*filled).first())])
+    plain = spark.read.schema(schema(width)).options(**options)
+    first = first[:width]
     given = [v for v in first]
     while given and given[-1] is None:
         given.pop()
