@@ -272,19 +272,19 @@ def near_links(docs: DataFrame, sigs: DataFrame, settings: Settings) -> DataFram
         rest, stars = _after_stars(rest, near, found, settings), 2 * stars
 
 
-def _in_buckets(rows: DataFrame, buckets: DataFrame, settings: Settings) -> DataFrame:
-    """``rows`` (band, ...) of the ``buckets`` (band, n, ...; n members), with the latter's columns but n.
+def _in_buckets(rows: DataFrame, buckets: DataFrame, settings: Settings, key: str = "band") -> DataFrame:
+    """``rows`` (key, ...) of the ``buckets`` (key, n, ...; n members), with the latter's columns but n.
 
-    Rows of large buckets aren't dealt by band, where one task would get a whole bucket.
+    Rows of large buckets aren't dealt by the key, where one task would get a whole bucket.
     """
-    buckets = written(buckets, "bands")
+    buckets = written(buckets, f"{key}s")
     large = buckets.filter(F.col("n") >= settings.large).drop("n")
     count = large.count()
     if not 0 < count <= settings.few:
-        return rows.join(buckets.drop("n"), "band")
-    others = rows.join(F.broadcast(large.select("band")), "band", "left_anti")
-    others = others.join(buckets.filter(F.col("n") < settings.large).drop("n"), "band")
-    return rows.join(F.broadcast(large), "band").unionByName(others)
+        return rows.join(buckets.drop("n"), key)
+    others = rows.join(F.broadcast(large.select(key)), key, "left_anti")
+    others = others.join(buckets.filter(F.col("n") < settings.large).drop("n"), key)
+    return rows.join(F.broadcast(large), key).unionByName(others)
 
 
 def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
@@ -429,8 +429,10 @@ def find_near_duplicates(
     id apart.
     """
     named = _classes(df, settings, id_col, text_col)
-    least = named.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "label", "left").select(
+    linked = named.filter(F.col("label").isNotNull())
+    least = linked.groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    alone = named.filter(F.col("label").isNull()).withColumn("least", F.lit(None).cast("long"))
+    return _in_buckets(linked, least, settings, "label").unionByName(alone).select(
         "doc_id",
         "text_key",
         "n_shingles",
@@ -461,8 +463,9 @@ def keep_one(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_
     named = _classes(df, settings, id_col, text_col).filter(F.col("label").isNotNull())
     rows = named.groupBy("label", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("y"), F.col("text_key").alias("z"))
-    first = rows.groupBy("label").agg(F.min(order).alias("first"))
-    verdicts = written(rows.join(first, "label").withColumn("stays", order == F.col("first")), "verdicts")
+    first = rows.groupBy("label").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
+    verdicts = _in_buckets(rows, first, settings, "label")
+    verdicts = written(verdicts.withColumn("stays", order == F.col("first")), "verdicts")
     names = [F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")]
     gone, several = verdicts.filter("not stays").select(names), verdicts.filter("stays and n > 1").select(names)
     same = df[id_col].cast("long").eqNullSafe(F.col("_id")) & (
