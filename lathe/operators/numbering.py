@@ -19,9 +19,11 @@ def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     placed = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
     part = F.shiftrightunsigned("_at", 33)
     counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).orderBy("_part").collect()
-    before, pairs = 0, []
+    before, offsets = 0, []
     for row in counts:
-        pairs += [F.lit(row["_part"]), F.lit(before)]
+        offsets.append((row["_part"], before))
         before += row["_n"]
-    offset = F.create_map(*pairs)[part] if pairs else F.lit(0)
-    return placed.withColumn(name, offset + F.col("_at").bitwiseAND(F.lit(_MASK)) + 1).drop("_at")
+    # A row for each partition, so it may be sent to every task.
+    starts = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part long, _before long"))
+    numbered = placed.withColumn("_part", part).join(starts, "_part")
+    return numbered.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit(_MASK)) + 1).drop("_at", "_part", "_before")

@@ -12,6 +12,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lathe.plans import file_catalog
 from lathe.query import Builder, query
 from lathe.sources.files import Documents, Tabular
 
@@ -335,6 +336,16 @@ ENTRIES: dict[str, Entry] = {
         + " FROM events GROUP BY user_id",
         ["user_id"],
     ),
+    "pivot_mixed": Entry(
+        ["in[events]", "user:user_id", "view,...,click:pivot[event_type,event_id,true]"],
+        "SELECT user_id AS user, "
+        + ", ".join(
+            f"coalesce(CAST(max(CASE WHEN event_type = '{t}' THEN event_id END) AS VARCHAR), '') AS {t}"
+            for t in ("view", "error", "purchase", "signup", "click")
+        )
+        + " FROM events GROUP BY user_id",
+        ["user_id"],
+    ),
     "pivot_spread": Entry(
         ["in[nation]", "...:pivot['r'&n_regionkey,n_name]"],
         "SELECT " + ", ".join(f"arg_max(n_name, n_nationkey) FILTER (n_regionkey = {k}) AS r{k}" for k in range(5)) + " FROM nation",
@@ -541,10 +552,12 @@ FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(_entry, name) for name in ENTRIES}
     found |= {name: partial(_document, name) for name in DOCUMENTS}
+    found |= file_catalog.queries(tables)
     return found | {name: run for name, (run, _) in FUNCTIONS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: e.sql for name, e in ENTRIES.items() if e.sql}
     found |= {name: sql for name, (_, _, _, sql) in DOCUMENTS.items()}
+    found |= file_catalog.oracle_sql()
     return found | {name: sql for name, (_, sql) in FUNCTIONS.items() if sql}
