@@ -2,7 +2,7 @@
 and what is left is packed into training sequences.
 
 Each stage is a function of the session, its predecessor's rows and the folder of the tables; its rows are written to the
-shared folder and read again.
+shared folder and read again.  Every stage takes nulls in any column and further columns, and gives no rows for none.
 """
 
 from __future__ import annotations
@@ -15,28 +15,31 @@ from lathe.llm.shared import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the toxicity threshold; the network learns from the labelled documents of ``sf_dir``."""
+    """Documents below the toxicity threshold; the network learns from the labelled documents of ``sf_dir``.
+
+    A row's verdict follows its text alone, a null being as an empty text, so equal rows stay or go together.
+    """
     net = toxicity.train(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, net)
 
 
 def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep: null and empty texts have too few words and go; equal rows go together."""
     return quality.keep_good(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates; repeated rows are one, null and empty texts all stay."""
     return neardup.keep_one(docs)
 
 
 def take_out_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their personal data replaced by its kind."""
+    """All documents, repeated ones too, their personal data replaced by its kind; null texts stay null."""
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences; null and empty texts are an end id each, repeated rows documents of their own."""
     return packing.digest(packing.pack(docs))
 
 
