@@ -575,7 +575,10 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
 def redact(
     df: DataFrame, training: Training = Training(), text_col: str = "text", length_col: str | None = "n_chars"
 ) -> DataFrame:
-    """``df`` with personal data taken out of its texts; a column of text lengths follows.  Null texts stay null."""
+    """``df`` with personal data taken out of its texts; a column of text lengths follows.
+
+    Null and empty texts stay as they are, repeated rows all stay; an empty table gives an empty one.
+    """
     net = trained(training)
     tune(df.sparkSession)
     length_col = length_col if length_col in df.columns else None

@@ -264,7 +264,10 @@ def keep_good(
     text_col: str = "text",
     lang_col: str | None = "lang",
 ) -> DataFrame:
-    """The rows of ``df``, with all their columns, whose text is kept."""
+    """The rows of ``df``, with all their columns, whose text is kept.
+
+    Null and empty texts are not (they have too few words); equal rows have one verdict; an empty table gives an empty one.
+    """
     path, bands = path or default_vocabulary(), bands or BANDS
     tune(df.sparkSession)
     lang_col = lang_col if lang_col in df.columns else None

@@ -368,7 +368,10 @@ def score_texts(
 
 
 def keep_clean(df: DataFrame, net: ToxicNet, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, with all their columns, whose score is below ``threshold``."""
+    """The rows of ``df``, with all their columns, whose score is below ``threshold``.
+
+    Null texts score as empty ones do, equal rows alike; an empty table gives an empty one.
+    """
     tune(df.sparkSession)
 
     def run(batches):

@@ -163,3 +163,29 @@ def test_pipeline_stages(spark, docs):
     assert sum(p["length"] for p in pieces) == sum({p["doc_id"]: p["doc_tokens"] for p in pieces}.values())
     assert len(corpus_pipeline.STAGES) == 5 and packing.CAPACITY == 2048
     assert corpus_pipeline.run(spark, SF).count() == len(pieces)
+
+
+def test_pipeline_stages_take_hard_rows(spark, hard, empty):
+    """Every stage by itself over nulls, empty and long texts, repeated rows and clashing columns, and over no rows."""
+    given = [tuple(r) for r in hard.collect()]
+    at = hard.columns.index("text")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, hard, SF)
+        assert kept.columns == hard.columns and stage(spark, empty, SF).collect() == [], name
+        rows = [tuple(r) for r in kept.collect()]
+        if name == "personal data":
+            assert len(rows) == len(given) and sum(r[at] is None for r in rows) == 1
+            continue
+        assert not Counter(rows) - Counter(given), name
+        texts = Counter(r[at] for r in rows)
+        if name == "toxicity":
+            # The verdict follows the text alone, and a null is as an empty text.
+            assert all(texts[t] in (0, n) for t, n in Counter(r[at] for r in given).items())
+            assert (texts[None] > 0) == (texts[""] > 0)
+        if name == "quality rules":
+            assert not texts[None] and not texts[""] and not texts[" \t\n\x0b\r "]
+        if name == "near duplicates":
+            assert texts[None] == texts[""] == 1 and texts["one two three four five six"] == 1
+    pieces = corpus_pipeline.pack(spark, hard, SF).collect()
+    assert Counter(p["doc_id"] for p in pieces if not p["start"]) == Counter(r[0] for r in given)
+    assert corpus_pipeline.pack(spark, empty, SF).collect() == []
