@@ -1,6 +1,7 @@
 """Registered queries over files: each writes a table as files of a format and queries these by path.
 
-A file is written by the tasks that hold its rows, so every path is a folder of parts.
+A file is written by the tasks that hold its rows, so every path is a folder of parts.  Parts that are read as whole
+documents have at most ``RECORDS`` records, so that a document stays small however many rows a task has.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from lathe.query import query
 from lathe.sink import write_files
 
 
+#: Records in a part that is read as a whole.
+RECORDS = 50_000
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder that executors share; a temporary one only where the session names none (a local session)."""
     shared = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lathe-files-")
@@ -49,7 +54,7 @@ def _lines(table: str, text: str, line_sep: str = "\n"):
 
 def _json(table: str, columns: list[str]):
     def write(spark: SparkSession, sf_dir: str, folder: str) -> None:
-        _table(spark, sf_dir, table).selectExpr(*columns).write.json(folder)
+        _table(spark, sf_dir, table).selectExpr(*columns).write.option("maxRecordsPerFile", RECORDS).json(folder)
 
     return write
 
