@@ -47,7 +47,7 @@ def _csv(table: str, columns: list[str], sep: str = ",", header: bool = True):
 def _lines(table: str, text: str, line_sep: str = "\n"):
     def write(spark: SparkSession, sf_dir: str, folder: str) -> None:
         lines = _table(spark, sf_dir, table).select(F.expr(text).alias("value"))
-        lines.write.option("lineSep", line_sep).text(folder)
+        lines.write.option("lineSep", line_sep).option("maxRecordsPerFile", RECORDS).text(folder)
 
     return write
 
