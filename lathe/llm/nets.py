@@ -81,34 +81,41 @@ def lstm_scores(x: np.ndarray, active: list[int], embed: np.ndarray, weights: np
     """An LSTM's states times ``out`` at every step of sequences of symbols x (steps, sequences), without gradients.
 
     Sequences are sorted from the longest down; at step t the first ``active[t]`` of them go on.  Features come first in
-    all work arrays, so each gate is one block of memory.
+    all work arrays, so each gate is one block of memory.  Those that have ended are left out when an eighth of the
+    columns has; until then their columns (and scores) hold what nobody reads.
     """
     steps, count = x.shape
     h, e = out.shape[0], embed.shape[1]
     scores = np.empty((steps, count, out.shape[1]), F32)
     into = np.zeros((h + e + 1, count), F32)
     into[-1] = 1
-    cell, a, fresh = np.zeros((h, count), F32), np.empty((4 * h, count), F32), np.empty((h, count), F32)
-    before = count
+    cell, work, spare = np.zeros((h, count), F32), np.empty(4 * h * count, F32), np.empty(h * count, F32)
+    table = np.ascontiguousarray(embed.T)
+    before = 0
     for t, k in enumerate(active):
-        if k < before:
-            into, cell, a, fresh = (np.ascontiguousarray(m[:, :k]) for m in (into, cell, a, fresh))
+        if not before or k <= before - before // 8 - 1:
+            if before:
+                into, cell = np.ascontiguousarray(into[:, :k]), np.ascontiguousarray(cell[:, :k])
             before = k
-        into[h : h + e] = embed[x[t, :k]].T
+            a, fresh = work[: 4 * h * k].reshape(4 * h, k), spare[: h * k].reshape(h, k)
+            gates, new, state = a[: 3 * h], a[3 * h :], into[:h]
+            taken, turned = into[h : h + e], state.T
+            enter, keep, leave = gates[:h], gates[h : 2 * h], gates[2 * h :]
+        # Symbols are within the table; the mode only keeps numpy from buffering.
+        table.take(x[t, :before], axis=1, out=taken, mode="clip")
         np.matmul(weights, into, out=a)
-        gates, new = a[: 3 * h], a[3 * h :]
         np.clip(gates, 0, 1, out=gates)
         np.abs(new, out=fresh)
         fresh += 1
         new /= fresh
-        new *= gates[:h]
-        cell *= gates[h : 2 * h]
+        new *= enter
+        cell *= keep
         cell += new
         np.abs(cell, out=fresh)
         fresh += 1
         np.divide(cell, fresh, out=fresh)
-        state = np.multiply(gates[2 * h :], fresh, out=into[:h])
-        np.matmul(state.T, out, out=scores[t, :k])
+        np.multiply(leave, fresh, out=state)
+        np.matmul(turned, out, out=scores[t, :before])
     return scores
 
 

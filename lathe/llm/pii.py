@@ -359,19 +359,21 @@ class SpanNet:
         start, stop = np.maximum(first - HALO, 0), np.minimum(last + HALO, sizes[owner])
         emit = np.empty((len(flat), self.TAGS), F32)
         order = np.argsort(start - stop, kind="stable")
-        for k in range(0, len(order), BATCH):
-            part = order[k : k + BATCH]
-            n, size, at = len(part), (stop - start)[part], (base[owner] + start)[part]
-            step = np.arange(size[0])[:, None]
-            active = np.searchsorted(-size, -step[:, 0], side="left").tolist()
+        # Batches of one size, as a small last one would take as many steps as a full one.
+        size = -(-len(order) // max(1, round(len(order) / BATCH)))
+        for k in range(0, len(order), size):
+            part = order[k : k + size]
+            n, length, at = len(part), (stop - start)[part], (base[owner] + start)[part]
+            step = np.arange(length[0])[:, None]
+            active = np.searchsorted(-length, -step[:, 0], side="left").tolist()
             x = flat[np.minimum(at + step, len(flat) - 1)]
             ahead = lstm_scores(x, active, self.p["embed"], *self.ahead).reshape(-1, self.TAGS)
-            x = flat[np.maximum(at + size - 1 - step, 0)]
+            x = flat[np.maximum(at + length - 1 - step, 0)]
             behind = lstm_scores(x, active, self.p["embed"], *self.behind).reshape(-1, self.TAGS)
             places, offsets = ragged_take((first - start)[part], (last - first)[part], np.arange(n))
             spread = lambda values: np.repeat(values, np.diff(offsets))  # noqa: B023, E731
             own = ahead.take(places * n + spread(np.arange(n)), axis=0)
-            own += behind.take(spread((size - 1) * n + np.arange(n)) - places * n, axis=0)
+            own += behind.take(spread((length - 1) * n + np.arange(n)) - places * n, axis=0)
             emit[spread(at) + places] = own
         emit += self.p["bias"]
         return emit
