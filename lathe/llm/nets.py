@@ -77,46 +77,59 @@ def stacked(w: np.ndarray, u: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(whole.T)
 
 
-def lstm_scores(x: np.ndarray, active: list[int], embed: np.ndarray, weights: np.ndarray, out: np.ndarray) -> np.ndarray:
-    """An LSTM's states times ``out`` at every step of sequences of symbols x (steps, sequences), without gradients.
-
-    Sequences are sorted from the longest down; at step t the first ``active[t]`` of them go on.  Features come first in
-    all work arrays, so each gate is one block of memory.  Those that have ended are left out when an eighth of the
-    columns has; until then their columns (and scores) hold what nobody reads.
+def lstm_scores(
+    inputs: np.ndarray, active: list[int], weights: np.ndarray, out: np.ndarray, scores: np.ndarray, back: bool = False
+) -> None:
+    """An LSTM's states times ``out`` at every step of embedded sequences (features, steps, sequences), without gradients.
+
+    They are written into ``scores`` (steps, columns of ``out``, sequences); read from the ends (``back``), they are added
+    to what is there.  Sequences are sorted from the longest down: the first ``active[t]`` have a step t.  Features come
+    first in all work arrays, so each gate is one block of memory.  Columns are taken in and left out an eighth at a
+    time; those of no sequence hold what nobody reads.
     """
-    steps, count = x.shape
-    h, e = out.shape[0], embed.shape[1]
-    scores = np.empty((steps, count, out.shape[1]), F32)
-    into = np.zeros((h + e + 1, count), F32)
-    into[-1] = 1
-    cell, work, spare = np.zeros((h, count), F32), np.empty(4 * h * count, F32), np.empty(h * count, F32)
-    table = np.ascontiguousarray(embed.T)
-    before = 0
-    for t, k in enumerate(active):
-        if not before or k <= before - before // 8 - 1:
-            if before:
-                into, cell = np.ascontiguousarray(into[:, :k]), np.ascontiguousarray(cell[:, :k])
-            before = k
-            a, fresh = work[: 4 * h * k].reshape(4 * h, k), spare[: h * k].reshape(h, k)
-            gates, new, state = a[: 3 * h], a[3 * h :], into[:h]
-            taken, turned = into[h : h + e], state.T
-            enter, keep, leave = gates[:h], gates[h : 2 * h], gates[2 * h :]
-        # Symbols are within the table; the mode only keeps numpy from buffering.
-        table.take(x[t, :before], axis=1, out=taken, mode="clip")
+    e, steps, count = inputs.shape
+    h, tags = out.shape
+    out = np.ascontiguousarray(out.T)
+    work, spare, part = np.empty(4 * h * count, F32), np.empty(h * count, F32), np.empty(tags * count, F32)
+    # Of the arrays' own type and shape: numpy converts nothing, and its minima and maxima of arrays are faster than a clip.
+    one, zeros, ones = np.ones((), F32), np.zeros(h * count, F32), np.ones(h * count, F32)
+    width, begun, state, cell = 0, 0, np.empty((h, 0), F32), np.empty((h, 0), F32)
+    for t in range(steps - 1, -1, -1) if back else range(steps):
+        k = active[t]
+        if k > width or (not back and k <= width - width // 8 - 1):
+            width = min(count, k + k // 8) if back else k
+            kept = min(width, cell.shape[1])
+            into, cells = np.zeros((h + e + 1, width), F32), np.zeros((h, width), F32)
+            into[:h, :kept], into[-1], cells[:, :kept] = state[:, :kept], 1, cell[:, :kept]
+            cell, state, taken = cells, into[:h], into[h : h + e]
+            a, fresh = work[: 4 * h * width].reshape(-1, width), spare[: h * width].reshape(h, width)
+            gates, new, low, high = a[: 3 * h].reshape(3, -1), a[3 * h :], zeros[: h * width], ones[: h * width]
+            added = part[: tags * width].reshape(tags, width)
+            enter, keep, leave = a[:h], a[h : 2 * h], a[2 * h : 3 * h]
+        if back and k > begun:
+            # A sequence begins without a state, whatever its column held before.
+            state[:, begun:k] = cell[:, begun:k] = 0
+            begun = k
+        np.copyto(taken, inputs[:, t, :width])
         np.matmul(weights, into, out=a)
-        np.clip(gates, 0, 1, out=gates)
+        np.maximum(gates, low, out=gates)
+        np.minimum(gates, high, out=gates)
         np.abs(new, out=fresh)
-        fresh += 1
-        new /= fresh
-        new *= enter
-        cell *= keep
-        cell += new
+        np.add(fresh, one, out=fresh)
+        np.divide(new, fresh, out=new)
+        np.multiply(new, enter, out=new)
+        np.multiply(cell, keep, out=cell)
+        np.add(cell, new, out=cell)
         np.abs(cell, out=fresh)
-        fresh += 1
+        np.add(fresh, one, out=fresh)
         np.divide(cell, fresh, out=fresh)
         np.multiply(leave, fresh, out=state)
-        np.matmul(turned, out, out=scores[t, :before])
-    return scores
+        own = scores[t, :, :width]
+        if back:
+            np.matmul(out, state, out=added)
+            np.add(own, added, out=own)
+        else:
+            np.matmul(out, state, out=own)
 
 
 def lstm_backward(d_states: np.ndarray, u: np.ndarray, kept: list) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,8 @@ identifiers) that are labelled as nothing.  It thus needs no pass over the corpu
 All of every text is decoded, in overlapping windows.  A text's position has its emissions from the window where it is
 most central; they are joined to those of the whole text, over which the CRF is decoded once, so a span may be of any
 length and lie anywhere.  Where bounds show that the best path
-over the whole text has no span, the CRF's search is left out (``SpanNet.runs``).  Addresses with the at sign spelled out
+over the whole text has no span (``SpanNet.runs``), or no part of a run can be plausible (``bearing``), the CRF's search is
+left out.  Addresses with the at sign spelled out
 are also found by a pattern.  Base spans always stay, then those of the pattern; spans of the network that touch one are
 dropped.
 """
@@ -26,14 +27,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.llm.batches import id_and_text, ragged_take, read_table, rebatch, tune
+from lathe.llm.batches import id_and_text, read_table, rebatch, tune
 from lathe.llm.nets import F32, Adam, best_tags, crf_gradient, glorot, lstm_backward, lstm_forward, lstm_scores, stacked, viterbi
 from lathe.llm.secrets import span_digest
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile("[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile("(?<![0-9])([0-9]+)\\.([0-9]+)\\.([0-9]+)\\.([0-9]+)")
+#: It starts with a set, as the engine skips to characters of it; a run's further digits are no start.
+IP = re.compile("([0-9](?<![0-9]{2})[0-9]*)\\.([0-9]+)\\.([0-9]+)\\.([0-9]+)")
 CARD = re.compile("[0-9](?:[\\x20-]?[0-9])+")
 PHONE = re.compile("\\+[0-9][\\x20().0-9-]+[0-9]")
 DIGITS = re.compile("[0-9]")
@@ -53,8 +55,12 @@ SAMPLE = 64
 #: Windows take STRIDE positions of a text each, and HALO further ones at either side, which are more central in their
 #: neighbours.
 STRIDE, HALO = 224, 16
-#: Windows decoded together.
-BATCH = 768
+#: Windows decoded together, about; OpenBLAS multiplies up to 625 (a million products) without rearranging its operands.
+BATCH = 560
+#: Batches that are made of texts together: several, so that they come to nearly BATCH windows each.
+GROUP = 2
+#: Positions that are searched for runs together, about: their sums should stay in a core's cache.
+PIECE = 1 << 15
 SYMBOLS = 132
 #: A span's least mean margin (natural log of odds against the best other tag) to be taken from the network.
 LEAST_MARGIN = 4.0
@@ -89,10 +95,13 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
             spans.append((start, found.end(), "email"))
         done = found.end() if found else at + 1
         at = text.find("@", done)
-    for found in IP.finditer(text):
+    digit = DIGITS.search(text)
+    if not digit:
+        return spans
+    for found in IP.finditer(text, digit.start()):
         if all(map(_part, found.groups())):
             spans.append((*found.span(), "ip"))
-    for found in CARD.finditer(text):
+    for found in CARD.finditer(text, digit.start()):
         digits = found[0].replace(" ", "").replace("-", "")
         if 12 <= len(digits) <= 19 and luhn(digits):
             spans.append((*found.span(), "card"))
@@ -347,7 +356,7 @@ class SpanNet:
     def emissions(self, texts: list[np.ndarray]) -> np.ndarray:
         """Emissions (positions, TAGS) of whole texts one after another, given as symbols.
 
-        Each position has them from the window where it is most central.
+        Each position has them from the window where it is most central.  A tag's column is contiguous.
         """
         sizes = np.array([len(t) for t in texts], np.int64)
         flat = np.concatenate(texts)
@@ -357,26 +366,29 @@ class SpanNet:
         first = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * STRIDE
         last = np.minimum(first + STRIDE, sizes[owner])
         start, stop = np.maximum(first - HALO, 0), np.minimum(last + HALO, sizes[owner])
-        emit = np.empty((len(flat), self.TAGS), F32)
+        emit = np.empty((self.TAGS, len(flat)), F32)
+        embed = np.ascontiguousarray(self.p["embed"].T)
         order = np.argsort(start - stop, kind="stable")
         # Batches of one size, as a small last one would take as many steps as a full one.
         size = -(-len(order) // max(1, round(len(order) / BATCH)))
         for k in range(0, len(order), size):
             part = order[k : k + size]
-            n, length, at = len(part), (stop - start)[part], (base[owner] + start)[part]
-            step = np.arange(length[0])[:, None]
-            active = np.searchsorted(-length, -step[:, 0], side="left").tolist()
-            x = flat[np.minimum(at + step, len(flat) - 1)]
-            ahead = lstm_scores(x, active, self.p["embed"], *self.ahead).reshape(-1, self.TAGS)
-            x = flat[np.maximum(at + length - 1 - step, 0)]
-            behind = lstm_scores(x, active, self.p["embed"], *self.behind).reshape(-1, self.TAGS)
-            places, offsets = ragged_take((first - start)[part], (last - first)[part], np.arange(n))
-            spread = lambda values: np.repeat(values, np.diff(offsets))  # noqa: B023, E731
-            own = ahead.take(places * n + spread(np.arange(n)), axis=0)
-            own += behind.take(spread((length - 1) * n + np.arange(n)) - places * n, axis=0)
-            emit[spread(at) + places] = own
-        emit += self.p["bias"]
-        return emit
+            length, at, skip, own = (stop - start)[part], (base[owner] + start)[part], (first - start)[part], (last - first)[part]
+            steps = int(length[0])
+            active = np.searchsorted(-length, -np.arange(steps), side="left").tolist()
+            x = np.zeros((len(part), steps), np.uint8)
+            windows = list(zip(at.tolist(), length.tolist(), skip.tolist(), own.tolist()))
+            for row, (a, n, _, _) in enumerate(windows):
+                x[row, :n] = flat[a : a + n]
+            inputs = embed.take(np.ascontiguousarray(x.T), axis=1, mode="clip")
+            scores = np.zeros((steps, self.TAGS, len(part)), F32)
+            lstm_scores(inputs, active, *self.ahead, scores)
+            lstm_scores(inputs, active, *self.behind, scores, back=True)
+            scores = np.ascontiguousarray(scores.transpose(1, 2, 0))
+            for row, (a, _, s, w) in enumerate(windows):
+                emit[:, a + s : a + s + w] = scores[:, row, s : s + w]
+        emit += self.p["bias"][:, None]
+        return emit.T
 
     def runs(self, emit: np.ndarray, begins: np.ndarray | None = None, least: float = 0.0) -> list[tuple[int, int]]:
         """Parts of texts outside which the best path has no spans: (start, end).
@@ -392,26 +404,36 @@ class SpanNet:
         onward = np.concatenate(([0], own))
         leave = np.maximum(trans[own][:, onward], trans[own + 1][:, onward]) - trans[0, onward]
         step = trans[own, own + 1] - trans[own + 1, own + 1]
-        none = emit[:, :1]
-        first = emit[:, own] - none
-        first += (into + leave.max(axis=1) + np.maximum(step, 0) + 0.001).astype(F32)
-        further = (emit[:, own + 1] - none).astype(np.float64)
-        further += trans[own + 1, own + 1] - trans[0, 0]
-        if begins is not None:
-            further[begins] = -1e6  # No span goes on into the next text.
-        further = np.cumsum(further, axis=0, out=further)
-        most = np.maximum.accumulate(further[::-1], axis=0)[::-1]
-        gain = most - further
-        gain += first
-        starts = np.flatnonzero((gain > 0).any(axis=1))
+        none = emit[:, 0]
+        bound = (into + leave.max(axis=1) + np.maximum(step, 0) + 0.001).astype(F32)
+        inner = trans[own + 1, own + 1] - trans[0, 0]
+        some = np.zeros(len(emit), bool)
+        kinds = []
+        for k, tag in enumerate(own.tolist()):
+            first = emit[:, tag] - none
+            first += bound[k]
+            further = (emit[:, tag + 1] - none).astype(np.float64)
+            further += inner[k]
+            if begins is not None:
+                further[begins] = -1e6  # No span goes on into the next text.
+            if max(first.max(initial=-1), further.max(initial=-1)) <= 0:
+                continue  # Nothing is gained anywhere.
+            np.cumsum(further, out=further)
+            most = np.maximum.accumulate(further[::-1])[::-1]
+            gain = most - further
+            gain += first
+            some |= gain > 0
+            kinds.append((first, further, most, gain))
+        starts = np.flatnonzero(some)
         if not len(starts):
             return []
-        stops = starts + 1
-        for k in range(len(KINDS)):
-            which = np.flatnonzero(gain[starts, k] > 0)
-            low = further[starts[which], k] - first[starts[which], k]
+        stops, gains = starts + 1, np.full(len(starts), -np.inf)
+        for first, further, most, gain in kinds:
+            np.maximum(gains, gain[starts], out=gains)
+            which = np.flatnonzero(gain[starts] > 0)
+            low = further[starts[which]] - first[starts[which]]
             # ``most`` falls, so the last position above ``low`` is found by bisection.
-            ends = len(emit) - np.searchsorted(most[::-1, k], low, side="right")
+            ends = len(emit) - np.searchsorted(most[::-1], low, side="right")
             stops[which] = np.maximum(stops[which], ends)
         if begins is not None:
             ends = np.append(begins[1:], len(emit))
@@ -422,7 +444,7 @@ class SpanNet:
             new |= np.diff(np.searchsorted(begins, starts, side="right")) > 0
         breaks = np.flatnonzero(new) + 1
         heads = np.concatenate(([0], breaks))
-        enough = np.maximum.reduceat(gain[starts].max(axis=1), heads) >= least
+        enough = np.maximum.reduceat(gains, heads) >= least
         end = reach[np.concatenate((breaks, [len(starts)])) - 1] + 1
         limit = len(emit)
         if begins is not None:
@@ -492,20 +514,37 @@ def plausible(text: str, kind: str) -> bool:
     return 9 <= digits <= 15 and text[-1].isdigit() and len(text) <= 2 * digits
 
 
+def bearing(text: str) -> bool:
+    """Whether a part of the text can be plausible as any kind; a part's edges may set an "at" or "dot" free."""
+    low = text.lower()
+    if "@" in text or ("at" in low and ("." in text or "dot" in low)):
+        return True
+    return len(DIGITS.findall(text)) >= 4
+
+
 def _groups(texts: list[str]) -> Iterator[list[int]]:
-    """Numbers of the texts that are not empty, in groups of about BATCH windows."""
+    """Numbers of the texts that are not empty, in groups of about GROUP batches."""
     group, held = [], 0
     for k, text in enumerate(texts):
         if text:
             group.append(k)
             held += -(-len(text) // STRIDE)
-            if held >= BATCH:
+            if held >= GROUP * BATCH:
                 yield group
                 group, held = [], 0
     if group:
         yield group
 
 
+def _pieces(begins: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that begin within PIECE positions of the range's first."""
+    first = 0
+    while first < len(begins):
+        last = int(np.searchsorted(begins, begins[first] + PIECE))
+        yield first, last
+        first = last
+
+
 def add_network(
     texts: list[str], base: list[list[tuple[int, int, str]]], net: SpanNet, least: float = LEAST_MARGIN
 ) -> list[list[tuple[int, int, str]]]:
@@ -521,10 +560,15 @@ def add_network(
     for group in _groups(texts):
         emit = net.emissions([inputs_of(texts[k]) for k in group])
         begins = np.cumsum([0, *(len(texts[k]) for k in group[:-1])])
-        for start, end in net.runs(emit, begins, least):
-            own = int(np.searchsorted(begins, start, side="right")) - 1
-            runs.append(emit[start:end].copy())
-            places.append((group[own], start - int(begins[own])))
+        for first, last in _pieces(begins):
+            head, tail = int(begins[first]), int(begins[last]) if last < len(begins) else len(emit)
+            for start, end in net.runs(emit[head:tail], begins[first:last] - head, least):
+                own = int(np.searchsorted(begins, head + start, side="right")) - 1
+                k, at = group[own], head + start - int(begins[own])
+                # Of what others hold nothing would be kept below.
+                if bearing(texts[k][at : at + end - start]):
+                    runs.append(emit[head + start : head + end].copy())
+                    places.append((k, at))
     for (k, at), (tags, margins) in zip(places, net.best(runs)):
         for a, b, kind, margin in spans_in(tags, margins, at):
             a = _name_start(texts[k], a, b) if kind == "email" else a

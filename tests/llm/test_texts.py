@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
-from lathe.llm import fingerprint, pii, quality, secrets, sitebayes, toxicity
+from lathe.llm import fingerprint, nets, pii, quality, secrets, sitebayes, toxicity
 from lathe.llm.batches import read_table
 from tests.llm.conftest import HARD, SF
 
@@ -211,6 +211,51 @@ def test_windows_give_the_spans_of_one_decoding(monkeypatch, rows):
     assert same > 300 and same >= 0.99 * max(sum(map(len, parts)), sum(map(len, whole)))
 
 
+def test_decoding_in_full_small_products(monkeypatch, rows):
+    """Windows are decoded by about BATCH, in products that OpenBLAS takes as they are; what can't be kept has no search."""
+    net, counts, searched = pii.trained(), [], []
+    scores, best = pii.lstm_scores, pii.SpanNet.best
+    monkeypatch.setattr(pii, "lstm_scores", lambda x, *a, **k: (counts.append(x.shape[-1]), scores(x, *a, **k))[1])
+    monkeypatch.setattr(pii.SpanNet, "best", lambda self, runs: (searched.extend(runs), best(self, runs))[1])
+    texts = [t for _, t in rows if t]
+    found = pii.all_spans(pa.array(texts), net)
+    whole = sum(-(-len(t) // pii.STRIDE) for t in texts)
+    products = net.ahead[0].size
+    assert sum(counts) == 2 * whole and max(counts) * products <= 10**6 and np.median(counts) >= 0.9 * pii.BATCH
+    # Every run before: a search for each, and the same spans.
+    few = len(searched)
+    monkeypatch.setattr(pii, "bearing", lambda text: True)
+    assert pii.all_spans(pa.array(texts), net) == found and 3 * few < len(searched) - few
+
+
+def test_bearing_texts():
+    rng = random.Random(6)
+    bits = "at|AT|dot|.|@|cat|b|Bo|1|23|4567|é|_| |-|(|[|\n|İ".split("|")
+    for _ in range(8000):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 24)))
+        a, b = sorted(rng.choices(range(len(text) + 1), k=2))
+        assert pii.bearing(text) or not any(pii.plausible(text[a:b], kind) for kind in pii.KINDS if a < b), text[a:b]
+
+
+def test_scores_of_sequences_of_many_lengths():
+    """Both directions over sequences decoded together, against each alone."""
+    rng = np.random.default_rng(5)
+    e, h, tags = 3, 4, 5
+    w, u, b, out = (rng.standard_normal(n).astype(np.float32) for n in ((e, 4 * h), (h, 4 * h), (4 * h,), (h, tags)))
+    for count in (1, 2, 9, 60):
+        sizes = np.sort(rng.integers(1, 40, count))[::-1]
+        x = rng.standard_normal((e, sizes[0], count)).astype(np.float32)
+        active = [int((sizes > t).sum()) for t in range(sizes[0])]
+        got = np.zeros((2, sizes[0], tags, count), np.float32)
+        nets.lstm_scores(x, active, nets.stacked(w, u, b), out, got[0])
+        got[1] = got[0]
+        nets.lstm_scores(x, active, nets.stacked(w, u, b), out, got[1], back=True)
+        for k, size in enumerate(sizes.tolist()):
+            z = (x[:, :size, k].T @ w + b)[:, None]
+            ahead, behind = nets.lstm_forward(z, u)[:, 0] @ out, nets.lstm_forward(z[::-1], u)[::-1, 0] @ out
+            assert np.allclose(got[0, :size, :, k], ahead, atol=1e-4) and np.allclose(got[1, :size, :, k], ahead + behind, atol=1e-4)
+
+
 def test_personal_query(spark, hard, empty, rows):
     found = {r["doc_id"]: r for r in pii.op2_pii(spark, SF).collect()}
     assert len(found) == len(rows)
