@@ -2,11 +2,15 @@
 
 Every operator works through ``mapInArrow``.  A batch is regrouped so that it holds about ``TARGET_BYTES`` of text, so
 memory is bounded by that plus the longest single text, whatever the number of rows Spark hands over at once.
+
+Spark gives a worker to the tasks of one operator after another.  So a task that has read its last batch gives the memory
+it no longer needs back to the system, and what a worker holds for one operator goes when a task of another begins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +23,19 @@ TARGET_BYTES = 4 << 20
 ARROW_ROWS = 1024
 
 
+#: What a worker holds from task to task, by name, with the call that lets go of it.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def give_back() -> None:
+    """Free memory, Arrow's and the C library's, goes back to the system (where the library can do that)."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass
+
+
 def tune(spark: SparkSession) -> None:
     """Lower the session's Arrow batch length to ``ARROW_ROWS`` (never raise it)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -39,8 +56,23 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
-def rebatch(batches: Iterable[pa.RecordBatch], column: str, target: int = TARGET_BYTES) -> Iterator[pa.RecordBatch]:
-    """Regroup into batches of about ``target`` bytes of ``column``; a longer single row comes alone."""
+def rebatch(
+    batches: Iterable[pa.RecordBatch], column: str, target: int = TARGET_BYTES, holds: str | None = None
+) -> Iterator[pa.RecordBatch]:
+    """Regroup into batches of about ``target`` bytes of ``column``; a longer single row comes alone.
+
+    Of what the worker holds (``HELD``) only ``holds`` stays.
+    """
+    for name, let_go in HELD.items():
+        if name != holds:
+            let_go()
+    try:
+        yield from _regrouped(batches, column, target)
+    finally:
+        give_back()
+
+
+def _regrouped(batches: Iterable[pa.RecordBatch], column: str, target: int) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:

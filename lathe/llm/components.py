@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from lathe.llm.shared import new_folder, remove
 
 
+#: Edges that a task takes at least, where so many are there: few edges need no more files, each of which has a price.
+EDGES = 50_000
+
+
 def _least(edges: DataFrame) -> DataFrame:
     """The smallest of each node and its neighbours."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
@@ -24,6 +28,10 @@ def components(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     folders: list[str] = []
 
+    def few(df: DataFrame, rows: int) -> DataFrame:
+        """``df``, which has at most so many ``rows``, in no more partitions than these need."""
+        return df.coalesce(max(1, -(-rows // EDGES)))
+
     def keep(df: DataFrame) -> tuple[DataFrame, tuple]:
         folders.append(new_folder(spark, "stars"))
         df.write.parquet(folders[-1])
@@ -43,9 +51,10 @@ def components(links: DataFrame) -> DataFrame:
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             joined.select("a", F.col("m").alias("b"))
         )
-        edges, after = keep(small.filter(F.col("a") != F.col("b")).select(*down).distinct())
+        # Each edge becomes one, and then two at most.
+        edges, after = keep(few(small.filter(F.col("a") != F.col("b")).select(*down).distinct(), 2 * state[0]))
         if after == state:
             break
         state = after
-    roots = edges.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
+    roots = few(edges.select(F.col("b").alias("node")).distinct(), state[0]).withColumn("component", F.col("node"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -208,7 +208,7 @@ def write(
     files = files or max(1, docs.rdd.getNumPartitions())
 
     def run(batches):
-        batches = rebatch(batches, "text")
+        batches = rebatch(batches, "text", holds="units")
         first = next(batches, None)
         if first is None:
             return

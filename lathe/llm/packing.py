@@ -151,7 +151,7 @@ def pack(
     def run(batches):
         packer = HarmonicPacker(capacity, classes)
         base = TaskContext.get().partitionId() << TASK_BITS
-        for batch in rebatch(batches, "text"):
+        for batch in rebatch(batches, "text", holds="units"):
             offsets, ids = encode_texts(batch.column("text"), path)
             for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                 own = np.empty(offsets[k + 1] - offsets[k] + 1, dtype="<u4")

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from lathe.llm.batches import encode_words, ragged_take
+from lathe.llm.batches import HELD, encode_words, ragged_take
 
 #: Letters that normalising leaves alone, then ASCII punctuation without the apostrophe (it opens contractions).
 PLAIN_UNIT = re.compile("([a-zß-öø-ÿ]*)([!-&(-/:-@\\[-`{-~]*)")
@@ -171,6 +171,15 @@ def _memo(path: str) -> UnitMemo:
     return UnitMemo(path)
 
 
+def let_go() -> None:
+    """Forget units and tokenizers; they are made anew when they are needed."""
+    for made in (_memo, _piecewise, load_tokenizer):
+        made.cache_clear()
+
+
+HELD["units"] = let_go
+
+
 def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of every whole text, special tokens not added: (offsets of length n + 1, ids as uint32)."""
     offsets, codes, units = encode_words(lower_ascii(texts))

@@ -48,6 +48,26 @@ def brute(rows):
     return sorted((i, len(sets[k]), min(least[find(k)])) for k, (i, _) in enumerate(rows) if i is not None)
 
 
+
+def test_few_links_come_in_few_files(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for key, value in zip(kept, ("40", "false")):
+            spark.conf.set(key, value)
+        rows = components(spark.range(300).selectExpr("id * 2 a", "id * 2 + id % 3 * 2 b"))
+        assert len(rows.inputFiles()) == 1 and rows.rdd.getNumPartitions() == 2
+        links = [(2 * k, 2 * k + k % 3 * 2) for k in range(300)]
+        root = {x: x for link in links for x in link}
+        for _ in range(len(links)):
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        linked = {x for a, b in links if a != b for x in (a, b)}
+        assert sorted(map(tuple, rows.collect())) == sorted((x, root[x]) for x in linked)
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+
+
 def found(df, settings=Settings()):
     rows = find_near_duplicates(df, settings).collect()
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows if r["doc_id"] is not None)

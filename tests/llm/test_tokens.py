@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lathe.llm import bpe, idfiles, packing, tokens
+from lathe.llm import batches, bpe, idfiles, packing, tokens
 from lathe.llm.batches import rebatch, split_words
 from tests.llm.conftest import HARD, SF
 
@@ -39,6 +39,19 @@ def test_rebatch_keeps_rows_in_order():
     assert sum((p.column("k").to_pylist() for p in parts), []) == list(range(500)) and len(parts) > 20
 
 
+def test_a_worker_gives_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(batches, "give_back", lambda: given.append(1))
+    batch = pa.RecordBatch.from_pydict({"t": ["one two", "two three"]})
+    tokens.encode_texts(batch.column("t"), PATH)
+    # Tasks that encode keep the units; the first of others doesn't.
+    assert len(list(rebatch([batch], "t", holds="units"))) == 1 and tokens._memo.cache_info().currsize == 1
+    assert len(list(rebatch([batch], "t"))) == 1 and tokens._memo.cache_info().currsize == 0
+    assert tokens.load_tokenizer.cache_info().currsize == 0 and given == [1, 1]
+    offsets, ids = tokens.encode_texts(batch.column("t"), PATH)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == reference(["one two", "two three"])
+
+
 @pytest.mark.parametrize("encode", [lambda a: tokens.encode_texts(a, PATH), lambda a: bpe.load_bpe(PATH).encode_texts(a)])
 def test_ids_equal_the_library(encode):
     rng = random.Random(3)
